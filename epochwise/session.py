@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> Sp
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("epochwise")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
