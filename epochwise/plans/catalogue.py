@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from epochwise.plans import registry
-from epochwise.plans import q_prepare, q_signal  # noqa: F401
+from epochwise.plans import q_evaluate, q_prepare, q_signal  # noqa: F401
 
 
 def queries():

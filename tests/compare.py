@@ -82,7 +82,7 @@ def main() -> int:
     bad = 0
     queries, sqls = entry.queries(), entry.oracle_sql()
     for name, fn in queries.items():
-        if names and not any(n in name for n in names):
+        if names and not any(n == name if not n.endswith("*") else name.startswith(n[:-1]) for n in names):
             continue
         t = time.time()
         try:
