@@ -41,90 +41,75 @@ def group_kfold(rows: DataFrame, k: int = 5, group: str = "subject", seed: str =
     return rows.withColumn("fold", (h % k).cast("int"))
 
 
-def _outer_sum(col: str) -> Column:
-    return F.sum(col).over(Window.partitionBy("_one"))
+def _per_column(per: DataFrame, group: str, cols: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """(group, _n, i, parts): one row per group and column out of one wide row per group."""
+    cells = [F.struct(F.lit(i).alias("i"), *[F.col(f"_{p}_{c}").alias(p) for p in parts]) for i, c in enumerate(cols)]
+    return per.select(group, "_n", F.inline(F.array(*cells)))
+
+
+def _as_arrays(long: DataFrame, group: str) -> DataFrame:
+    """(group, n, a, b) with arrays in column order."""
+    packed = long.groupBy(group).agg(F.max("rest").alias("n"), F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("_p"))
+    return packed.select(group, "n", F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
 
 
 def held_out_moments(rows: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    """Per held-out group: n, mean and population deviation of every other group's rows.
+    """Per held-out group: (group, n, a, b), mean and population deviation of all other groups.
 
     Moments are merged from per-group count, mean and variance, which stays accurate where
-    raw sums of squares would cancel. The final step handles one row per group.
+    raw sums of squares would cancel. Only the first aggregate sees data rows; the windows run
+    over one row per group and column.
     """
     per = rows.groupBy(group).agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         *[F.avg(c).alias(f"_m_{c}") for c in cols],
         *[F.var_pop(c).alias(f"_v_{c}") for c in cols],
     )
-    total = per.agg(
-        F.sum("_n").alias("_tn"),
-        *[(F.sum(F.col("_n") * F.col(f"_m_{c}")) / F.sum("_n")).alias(f"_g_{c}") for c in cols],
-    )
-    # one row of totals
-    joined = per.join(F.broadcast(total))
-    n, rest = F.col("_n"), F.col("_tn") - F.col("_n")
+    w = Window.partitionBy("i")
+    long = _per_column(per, group, cols, ["m", "v"])
+    long = long.withColumn("_tn", F.sum("_n").over(w)).withColumn("_g", F.sum(F.col("_n") * F.col("m")).over(w) / F.col("_tn"))
+    gap = F.col("m") - F.col("_g")
     # second moments about the grand mean add up across groups
-    about = {
-        c: n * (F.col(f"_v_{c}") + F.pow(F.col(f"_m_{c}") - F.col(f"_g_{c}"), F.lit(2.0))) for c in cols
-    }
-    per2 = joined.select(
-        group,
-        rest.alias("n"),
-        *[F.col(f"_g_{c}") for c in cols],
-        *[(-(n * (F.col(f"_m_{c}") - F.col(f"_g_{c}"))) / rest).alias(f"_d_{c}") for c in cols],
-        *[about[c].alias(f"_q_{c}") for c in cols],
+    long = long.withColumn("_q", F.col("_n") * (F.col("v") + gap * gap))
+    rest = F.col("_tn") - F.col("_n")
+    drift = -(F.col("_n") * gap) / rest
+    var = (F.sum("_q").over(w) - F.col("_q")) / rest - drift * drift
+    stats = long.select(
+        group, "i", rest.alias("rest"), (F.col("_g") + drift).alias("a"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("b")
     )
-    q_total = per2.agg(*[F.sum(f"_q_{c}").alias(f"_tq_{c}") for c in cols])
-    out = per2.join(F.broadcast(q_total))
-    sds = [
-        F.sqrt(
-            F.greatest(
-                (F.col(f"_tq_{c}") - F.col(f"_q_{c}")) / F.col("n") - F.col(f"_d_{c}") * F.col(f"_d_{c}"),
-                F.lit(0.0),
-            )
-        ).alias(f"b_{c}")
-        for c in cols
-    ]
-    means = [(F.col(f"_g_{c}") + F.col(f"_d_{c}")).alias(f"a_{c}") for c in cols]
-    return out.select(group, "n", *means, *sds)
+    return _as_arrays(stats.filter("rest > 0"), group)
 
 
 def held_out_ranges(rows: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    """Per held-out group: minimum and range of every other group's rows.
+    """Per held-out group: (group, n, a, b), minimum and range of all other groups.
 
-    The two smallest and two largest group extremes are enough: a group that owns the
-    extreme takes the runner-up.
+    A group that owns the extreme takes the runner-up.
     """
     per = rows.groupBy(group).agg(
-        *[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols]
-    )
-    firsts = []
-    for c in cols:
-        lo, hi = F.struct(F.col(f"_lo_{c}").alias("v"), group), F.struct(F.col(f"_hi_{c}").alias("v"), group)
-        firsts += [F.min(lo).alias(f"_l1_{c}"), F.max(hi).alias(f"_h1_{c}")]
-    top = per.agg(*firsts)
-    both = per.join(F.broadcast(top))
-    seconds = both.agg(
-        *[F.min(F.when(F.col(group) != F.col(f"_l1_{c}.{group}"), F.col(f"_lo_{c}"))).alias(f"_l2_{c}") for c in cols],
-        *[F.max(F.when(F.col(group) != F.col(f"_h1_{c}.{group}"), F.col(f"_hi_{c}"))).alias(f"_h2_{c}") for c in cols],
+        F.count(F.lit(1)).cast("double").alias("_n"),
+        *[F.min(c).alias(f"_lo_{c}") for c in cols],
+        *[F.max(c).alias(f"_hi_{c}") for c in cols],
     )
-    full = both.join(F.broadcast(seconds))
-    out = []
-    for c in cols:
-        lo = F.when(F.col(group) == F.col(f"_l1_{c}.{group}"), F.col(f"_l2_{c}")).otherwise(F.col(f"_l1_{c}.v"))
-        hi = F.when(F.col(group) == F.col(f"_h1_{c}.{group}"), F.col(f"_h2_{c}")).otherwise(F.col(f"_h1_{c}.v"))
-        out += [lo.alias(f"a_{c}"), (hi - lo).alias(f"b_{c}")]
-    return full.select(group, *out)
+    long = _per_column(per, group, cols, ["lo", "hi"])
+    whole = Window.partitionBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    up, down = Window.partitionBy("i").orderBy("lo", group), Window.partitionBy("i").orderBy(F.desc("hi"), group)
+    long = long.withColumns({"_ru": F.row_number().over(up), "_rd": F.row_number().over(down), "_tn": F.sum("_n").over(whole)})
+
+    def place(col: str, rank: str, k: int) -> Column:
+        return F.max(F.when(F.col(rank) == k, F.col(col))).over(whole)
+
+    lo = F.when(F.col("_ru") == 1, place("lo", "_ru", 2)).otherwise(place("lo", "_ru", 1))
+    hi = F.when(F.col("_rd") == 1, place("hi", "_rd", 2)).otherwise(place("hi", "_rd", 1))
+    stats = long.select(group, "i", (F.col("_tn") - F.col("_n")).alias("rest"), lo.alias("a"), (hi - lo).alias("b"))
+    return _as_arrays(stats.filter("rest > 0"), group)
 
 
 def scale_held_out(rows: DataFrame, group: str, cols: Sequence[str], kind: str = "standard") -> DataFrame:
     """Each row scaled as a test row: by the statistics of all other groups."""
     stats = held_out_moments(rows, group, cols) if kind == "standard" else held_out_ranges(rows, group, cols)
     joined = rows.join(stats.drop("n"), group)
-    scaled = [
-        ((F.col(c) - F.col(f"a_{c}")) / F.when(F.col(f"b_{c}") == 0, 1.0).otherwise(F.col(f"b_{c}"))).alias(c)
-        for c in cols
-    ]
+    div = [F.when(F.col("b")[i] == 0, 1.0).otherwise(F.col("b")[i]) for i in range(len(cols))]
+    scaled = [((F.col(c) - F.col("a")[i]) / div[i]).alias(c) for i, c in enumerate(cols)]
     keep = [c for c in rows.columns if c not in cols]
     return joined.select(*keep, *scaled)
 
