@@ -22,7 +22,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwise.operators import events, folds
@@ -168,8 +168,9 @@ def fit(train: DataFrame, spec: Spec, d: int, weights: dict[int, float] | None =
 
 
 def concurrently(tasks: list[Callable], parallel: int = 4) -> list:
+    carry = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(carry(t)) for t in tasks]]
 
 
 def out_of_fold(

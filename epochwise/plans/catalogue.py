@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from epochwise.plans import registry
-from epochwise.plans import q_evaluate, q_events, q_models, q_prepare, q_profile, q_signal, q_text  # noqa: F401
+from epochwise.plans import q_evaluate, q_events, q_models, q_prepare, q_profile, q_signal, q_stream, q_text  # noqa: F401
 
 
 def queries():
