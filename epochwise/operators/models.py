@@ -79,10 +79,10 @@ def boosting(rounds: int = 50, depth: int = 3, rate: float = 0.1, seed: int = 42
     )
 
 
-def linear_margin(reg: float = 0.01, name: str = "svm") -> Spec:
+def linear_margin(reg: float = 0.01, iters: int = 20, name: str = "svm") -> Spec:
     return Spec(
         name,
-        lambda d: LinearSVC(regParam=reg, maxIter=50, weightCol="_w", labelCol="y", featuresCol="_x"),
+        lambda d: LinearSVC(regParam=reg, maxIter=iters, tol=1e-4, weightCol="_w", labelCol="y", featuresCol="_x"),
     )
 
 

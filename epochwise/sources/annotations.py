@@ -11,7 +11,7 @@ DAY = 86400
 
 def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Whole annotation files; each is a small text."""
-    return spark.read.option("wholetext", True).text(paths).select(
+    return spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
 
