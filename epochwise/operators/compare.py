@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from epochwise.functions import stats
 from epochwise.functions.exprs import ratio
 from epochwise.operators import ordering
-from epochwise.operators.evaluate import BY
+from epochwise.session import materialise
 
 
 def spread(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """mean, sd (ddof 1), median, q1, q3, min, max per key; quantiles exact."""
+    # the per-subject table is read by several passes
+    long = materialise(long.select(*keys, value), "spread")
     base = long.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
@@ -63,9 +65,11 @@ def bootstrap(values: DataFrame, keys: Sequence[str], group: str = "subject", va
     Every resample draws n subjects with replacement. Draws are counted per (resample, drawn
     subject) before they meet the values, and the percentiles are over ``resamples`` numbers.
     """
+    values = materialise(values.select(*keys, group, value), "bootstrap")
     ranked = ordering.exact_rank(
         values, keys, [F.col(group)], F.substring(group, 1, 4), out="_j", total="_n"
     ).withColumn("_j", F.col("_j") - 1)
+    ranked = materialise(ranked, "bootstrap-ranked")
     b = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")
     drawn = ranked.select(*keys, "_n", "_j", b)
     drawn = drawn.select(*keys, "_b", (draw(F.col("_b"), F.col("_j"), seed) % F.col("_n")).alias("_j"))
@@ -93,8 +97,7 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], digits: int = 12, with_p: bo
     Zero differences are dropped. Equal absolute differences are counted before they are
     ranked, and ranks come from bucketed running sums.
     """
-    d = F.round("d", digits)
-    base = diffs.withColumn("_d", d)
+    base = materialise(diffs.select(*keys, "d", F.round("d", digits).alias("_d")), "paired")
     overall = base.groupBy(*keys).agg(
         F.avg("d").alias("mean_delta"), F.sum((F.col("_d") == 0).cast("bigint")).alias("_zeros")
     )

@@ -56,7 +56,7 @@ def logistic(l1: float = 0.0, reg: float = 0.01, name: str = "logistic") -> Spec
     return Spec(
         name,
         lambda d: LogisticRegression(
-            elasticNetParam=l1, regParam=reg, maxIter=100, weightCol="_w", labelCol="y", featuresCol="_x"
+            elasticNetParam=l1, regParam=reg, maxIter=100, tol=1e-4, weightCol="_w", labelCol="y", featuresCol="_x"
         ),
     )
 

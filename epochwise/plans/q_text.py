@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epochwise import session
 from epochwise.functions.exprs import METRICS
 from epochwise.operators import evaluate, prep, profile, retrieval
-from epochwise.plans import q_evaluate
+from epochwise.plans import q_evaluate, q_profile  # noqa: F401  their SQL views are used here
 from epochwise.plans.hubs import CHANNELS, FEATS, Hub, add_view, with_views
 from epochwise.plans.q_events import splits_frame
 from epochwise.plans.registry import query
