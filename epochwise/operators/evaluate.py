@@ -51,12 +51,13 @@ def score_counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def operating_points(scored: DataFrame, by: Sequence[str] = tuple(BY), lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+def operating_points(scored: DataFrame, by: Sequence[str] = tuple(BY), lo: float = 0.0, hi: float = 1.0, counted: bool = False) -> DataFrame:
     """Per distinct score, descending: cum_pos, cum_neg at p >= score, and all_pos, all_neg.
 
     ``lo`` and ``hi`` only set the bucket grid; scores outside go to the end buckets.
+    ``counted`` says that ``scored`` already is a table of ``score_counts``.
     """
-    counts = score_counts(scored, by)
+    counts = scored if counted else score_counts(scored, by)
     scaled = (F.col("p") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(SCORE_BUCKETS))
     level = F.greatest(F.lit(0), F.least(F.lit(SCORE_BUCKETS), F.floor(scaled)))
     return ordering.running(
@@ -226,14 +227,14 @@ def multiclass(pred: DataFrame, classes: Sequence, positive) -> dict[str, DataFr
     return {"matrix": wide, "recall": recall, "overall": overall}
 
 
-def per_subject(scored: DataFrame, by: Sequence[str] = tuple(BY), group: str = "subject", thr: float = 0.5) -> DataFrame:
+def per_subject(scored: DataFrame, by: Sequence[str] = tuple(BY), group: str = "subject", thr: float = 0.5, counted: bool = False) -> DataFrame:
     """(by, group, counts, metric suite, auc): one row per subject.
 
     Counts at the threshold and the area come from the same table of operating points, so
     the scored rows are shuffled once.
     """
     keys = [*by, group]
-    pts = operating_points(scored, keys)
+    pts = operating_points(scored, keys, counted=counted)
     above = F.col("p") >= F.lit(float(thr))
     tp = F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint")
     fp = F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint")
@@ -259,8 +260,13 @@ def macro(subjects: DataFrame, by: Sequence[str] = tuple(BY)) -> DataFrame:
 
 
 def pooled_vs_macro(scored: DataFrame, by: Sequence[str] = tuple(BY), thr: float = 0.5) -> DataFrame:
-    """Pooled counts, metrics and area next to the macro averages."""
-    pts = operating_points(scored, by)
+    """Pooled counts, metrics and area next to the macro averages.
+
+    The rows are counted per subject and score once; the pooled counts are sums of those.
+    """
+    counts = score_counts(scored, [*by, "subject"])
+    pooled_counts = counts.groupBy(*by, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pts = operating_points(pooled_counts, by, counted=True)
     above = F.col("p") >= F.lit(float(thr))
     tp = F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint")
     fp = F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint")
@@ -277,7 +283,7 @@ def pooled_vs_macro(scored: DataFrame, by: Sequence[str] = tuple(BY), thr: float
             F.when(pos_total > 0, F.sum(F.col("pos").cast("double") * precision) / pos_total).alias("pr_auc"),
         )
     )
-    return pooled.join(macro(per_subject(scored, by, thr=thr), by), list(by))
+    return pooled.join(macro(per_subject(counts, by, thr=thr, counted=True), by), list(by))
 
 
 def long_metrics(subjects: DataFrame, names: Sequence[str], by: Sequence[str] = tuple(BY), group: str = "subject") -> DataFrame:

@@ -1,8 +1,8 @@
 """Segments and spectral or time-domain features.
 
 Samples are grouped by epoch (a bounded group: one epoch length of samples), all channels of an
-instant travelling in one row, so the raw data are shuffled once. What follows, channel
-features and their spread over channels, reuses that partitioning.
+instant travelling in one row, so the raw data are shuffled once. The spread over channels
+follows in the same task and is combined there: after it, one row per epoch is left to move.
 """
 
 from __future__ import annotations

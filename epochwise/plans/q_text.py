@@ -6,28 +6,30 @@ from pyspark.sql import functions as F
 
 from epochwise import session
 from epochwise.functions.exprs import METRICS
-from epochwise.operators import evaluate, prep, profile, retrieval
+from epochwise.operators import evaluate, ordering, prep, profile, retrieval
 from epochwise.plans import q_evaluate, q_profile  # noqa: F401  their SQL views are used here
 from epochwise.plans.hubs import CHANNELS, FEATS, Hub, add_view, with_views
 from epochwise.plans.q_events import splits_frame
 from epochwise.plans.registry import query
 from epochwise.sources import annotations, files
 
-# --- annotation text: one text per user and day, derived from the error events ---------------
+# --- annotation text: one text per user, day and thousand event ids, derived from the error
+# events; the id range bounds the size of a text ------------------------------------------------
 
-DAYKEY = "CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%d')"
+DAYKEY = "CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%d') || '_' || CAST(event_id // 1000 AS VARCHAR)"
 SOD = "(hour(ts) * 3600 + minute(ts) * 60 + second(ts))"
 
 
 def _user_day(t: Hub):
     ts = F.col("ts")
     sod = (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("bigint")
-    path = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format(ts, "dd"))
+    part = F.floor(F.col("event_id") / 1000).cast("string")
+    path = F.concat_ws("_", F.col("user_id").cast("string"), F.date_format(ts, "dd"), part)
     return t.table("events").select(path.alias("path"), "ts", "event_id", "event_type", "value", sod.alias("sod"))
 
 
 def _texts(rows, line):
-    """Join the lines of a user day, in time order, into one text."""
+    """Join the lines of a path (at most a thousand), in time order, into one text."""
     item = F.struct("ts", "event_id", line.alias("line"))
     return rows.groupBy("path").agg(F.sort_array(F.collect_list(item)).alias("l"), F.min("sod").alias("reg"))
 
@@ -197,9 +199,10 @@ _GF = "CAST('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 8) AS BIGI
     WHEN {_GF} = 3 THEN 'validation' ELSE 'test' END AS split FROM events) GROUP BY split""",
 )
 def split_manifest(t: Hub):
-    """Assignments as manifest rows, one nested document per hash part, exploded again."""
-    part = F.pmod(F.xxhash64("subject"), F.lit(16))
-    lists = splits_frame(t).groupBy(part.alias("part"), "split").agg(F.collect_list("subject").alias("ids"))
+    """Assignments as nested documents of at most a thousand subjects, exploded again."""
+    ranked = ordering.hash_rank(splits_frame(t), ["split"], "subject", out="rn")
+    part = F.floor((F.col("rn") - 1) / 1000)
+    lists = ranked.groupBy(part.alias("part"), "split").agg(F.collect_list("subject").alias("ids"))
     split = F.struct(
         F.col("ids").alias("subject_ids"),
         F.size("ids").cast("bigint").alias("n_subjects"),
