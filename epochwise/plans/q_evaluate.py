@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epochwise.functions.constants import SPECIFICITY_TARGETS, SWEEP_OPERATING, SWEEP_TENTHS, T_FIXED
+from epochwise.functions import stats
 from epochwise.functions.exprs import METRICS
 from epochwise.operators import compare, evaluate
 from epochwise.plans.hubs import Hub, add_view, with_views
@@ -350,7 +351,16 @@ def ci95(t: Hub):
     return out.select(*BY, "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query("ci95_exact_t")
+_T_TABLE = ", ".join(f"({df}, {stats.t_quantile_975(df)!r}::DOUBLE)" for df in range(1, 201))
+
+
+@query(
+    "ci95_exact_t",
+    with_views("subj_long", tq=f"SELECT * FROM (VALUES {_T_TABLE}) AS v(df, t)")
+    + """SELECT model, protocol, metric, n, round(mean, 6) AS mean, round(mean - t * sd / sqrt(n), 6) AS lo,
+    round(mean + t * sd / sqrt(n), 6) AS hi FROM (SELECT model, protocol, metric, count(*) AS n, avg(value) AS mean,
+    stddev_samp(value) AS sd FROM subj_long GROUP BY model, protocol, metric) JOIN tq ON df = n - 1""",
+)
 def ci95_exact_t(t: Hub):
     """The quantile follows the number of subjects."""
     out = compare.ci95(_subj_long(t), [*BY, "metric"])

@@ -40,11 +40,11 @@ def test_segment_csv(spark, tmp_path):
 
 
 def test_discovery(spark, tmp_path):
-    for name in ("chb17a_03.edf", "chb17b_57.edf", "chb17b_57.edf.1", "chb01_01.edf", "notes.txt"):
+    for name in ("abc17a_03.edf", "abc17b_57.edf", "abc17b_57.edf.1", "abc01_01.edf", "notes.txt"):
         (tmp_path / name).write_text("x")
     found = files.discover(files.list_files(spark, str(tmp_path), "*.edf*"))
     got = {(r.subject, r.recording) for r in found.collect()}
-    assert got == {("chb17", "chb17a_03.edf"), ("chb17", "chb17b_57.edf"), ("chb01", "chb01_01.edf")}
+    assert got == {("abc17", "abc17a_03.edf"), ("abc17", "abc17b_57.edf"), ("abc01", "abc01_01.edf")}
 
 
 def test_cache_prunes_folders(spark, hub, tmp_path):
