@@ -19,32 +19,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwise.llm import byte_bpe, byte_cnn, decontaminate, near_dup, secrets
-from epochwise.plans.hubs import ship_package
+from epochwise.llm.registry import prepare
 from epochwise.session import materialise, scratch_path
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     model = byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(byte_cnn.scorer(spark, model)(F.col("text")) >= byte_cnn.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     gone = near_dup.groups(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.clean(docs, found).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     ledger = secrets.scan(docs, "doc_id", "text", scratch_path(spark, "secret-ledger"))
     out = secrets.redacted(docs, "doc_id", "text", ledger)
     if "n_chars" not in docs.columns:
@@ -55,7 +55,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = byte_bpe.round_trip(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -175,8 +175,19 @@ def decoder(spark, ranks_path: str, pattern: str):
 
 
 def round_trip(df, text: str, ranks_path: str, pattern: str):
-    """``df`` with ``ids`` and ``decoded`` (binary); columns of those names are replaced."""
-    spark = df.sparkSession
-    enc, dec = encoder(spark, ranks_path, pattern), decoder(spark, ranks_path, pattern)
-    out = df.withColumn("ids", enc(F.col(text)))
-    return out.withColumn("decoded", dec(F.col("ids")))
+    """``df`` with ``ids`` and ``decoded`` (binary); columns of those names are replaced.
+
+    Both come from one pass, so that one worker process holds one model.
+    """
+    model = df.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(model, pattern)
+        for s in texts:
+            ids = [codec.encode(t) for t in s]
+            yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(i) for i in ids]}, index=s.index)
+
+    kept = [c for c in df.columns if c.lower() not in ("ids", "decoded")]
+    coded = both(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_coded")
+    return df.select(*kept, coded).select(*kept, "_coded.ids", "_coded.decoded")
