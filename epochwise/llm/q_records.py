@@ -27,20 +27,20 @@ def op9_language(spark, table):
 OP10_SQL = """
 WITH turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
 ), prefixes AS (
-  SELECT conv_id, at, md5(string_agg(role || chr(31) || text || chr(30), '') OVER w) AS h,
+  SELECT conv_id, pos, md5(string_agg(role || chr(31) || text || chr(30), '') OVER w) AS h,
          count(*) OVER (PARTITION BY conv_id) AS n
-  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY at ROWS UNBOUNDED PRECEDING)
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
 ), whole AS (
-  SELECT h, n, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE at = n GROUP BY h, n
+  SELECT h, n, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE pos = n GROUP BY h, n
 ), kept AS (
-  SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.h = whole.h AND p.at = whole.n AND p.at < p.n)
+  SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.h = whole.h AND p.pos = whole.n AND p.pos < p.n)
 )
 SELECT k.conv_id, k.n AS n_turns, k.copies,
        string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |')
-                  || '<|im_end|>' || chr(10), '' ORDER BY at) AS text
+                  || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
 FROM kept k JOIN turns t ON t.conv_id = k.conv_id
 GROUP BY k.conv_id, k.n, k.copies
 """

@@ -173,8 +173,7 @@ def search(
     rows = usable(vectors, vec_id, embedding)
     total = rows.count()
     chosen = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).collect() if total else []
-    x = np.array([r["vec"] for r in chosen]).reshape(len(chosen), -1)
-    router = fit(x, levels_for(total)) if total else None
+    router = fit(np.array([r["vec"] for r in chosen]), levels_for(total)) if total else None
     shared = spark.sparkContext.broadcast(router)
     kind = rows.schema["id"]
     placed = T.StructType([kind, T.StructField("vec", T.BinaryType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
@@ -199,20 +198,21 @@ def search(
         "part", F.pmod(F.xxhash64("u"), F.col("cb")).cast("int").alias("c"),
         F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "id", "vec",
     )
-    asks = asks.join(blocks, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("c"),
-        F.pmod(F.xxhash64("id", "part"), F.col("qb")).cast("int").alias("q"), "id", "vec",
+    asks = asks.select(F.col("part").alias("p"), F.col("id").alias("ask"), F.col("vec").alias("ask_vec"))
+    asks = asks.join(blocks, asks["p"] == blocks["part"]).select(
+        F.col("p"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("ask_c"),
+        F.pmod(F.xxhash64("ask", "p"), F.col("qb")).cast("int").alias("ask_q"), "ask", "ask_vec",
     )
     out = T.StructType([T.StructField("query_id", kind.dataType), T.StructField("vec_id", kind.dataType), T.StructField("score", T.DoubleType())])
 
     def rank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         held = held.drop_duplicates(["id", "vec"])
-        asked = asked.drop_duplicates(["id", "vec"])
+        asked = asked.drop_duplicates(["ask", "ask_vec"])
         if not len(held) or not len(asked):
-            return pd.DataFrame({"query_id": asked["id"][:0], "vec_id": held["id"][:0], "score": np.empty(0)})
-        h, q = (np.frombuffer(b"".join(f["vec"]), np.float64).reshape(len(f), -1) for f in (held, asked))
+            return pd.DataFrame({"query_id": asked["ask"][:0], "vec_id": held["id"][:0], "score": np.empty(0)})
+        h, q = (np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1) for v in (held["vec"], asked["ask_vec"]))
         ids, norm, found = held["id"].to_numpy(), (h * h).sum(1), []
-        for qid, v in zip(asked["id"].to_numpy(), q):
+        for qid, v in zip(asked["ask"].to_numpy(), q):
             near = norm - 2 * (h @ v)
             near[ids == qid] = np.inf
             most = min(k, len(near)) - 1
@@ -226,8 +226,7 @@ def search(
             found += [(qid, i, least[i]) for i in one]
         return pd.DataFrame(found, columns=out.names)
 
-    key = ["part", "c", "q"]
-    tops = asks.groupBy(*key).cogroup(base.groupBy(*key)).applyInPandas(rank, out)
+    tops = asks.groupBy("p", "ask_c", "ask_q").cogroup(base.groupBy("part", "c", "q")).applyInPandas(rank, out)
     best = tops.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
