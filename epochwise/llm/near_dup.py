@@ -42,8 +42,7 @@ SKETCH_WORDS = 16  # of 64 bits
 #: Estimated similarity below which a candidate can't be a link at 0.8.
 SKETCH_FLOOR = 0.6
 PERCENT = 80
-WORD_CACHE = 500_000
-_MASK = (1 << 64) - 1
+WORD_CACHE = 150_000
 
 
 class _Words(dict):
@@ -85,17 +84,18 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 @functools.cache
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240817)
-    a = rng.integers(0, _MASK, SAMPLES, dtype=np.uint64, endpoint=True) | np.uint64(1)
-    return a[:, None], rng.integers(0, _MASK, SAMPLES, dtype=np.uint64, endpoint=True)[:, None]
+    a = rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
+    return a[:, None], rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[:, None]
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
-    """The smallest value of each permutation; blocks bound the memory for long texts."""
+    """The smallest value of each of the permutations of 32 bits; blocks bound the memory."""
     a, b = _permutations()
-    out = np.full(SAMPLES, _MASK, np.uint64)
-    for at in range(0, len(s), 512):
-        np.minimum(out, (s[at : at + 512] * a + b).min(axis=1), out=out)
-    return out
+    out = np.full(SAMPLES, (1 << 32) - 1, np.uint32)
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(out, (x[at : at + 512] * a + b).min(axis=1), out=out)
+    return out.astype(np.uint64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def _differing(a: Column, b: Column) -> Column:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are at least ``percent`` alike."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
     common = F.size(F.array_intersect("ia", "ib"))
     union = F.size("ia") + F.size("ib") - common
@@ -264,17 +264,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     stars = bucketed.filter("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialise(close(stars), "tested")
     found = materialise(components(materialise(confirm(tested, sets, percent), "links")), "components")
-    most = 8
+    mixed, most = bucketed.select("bucket", "id"), 32
     while True:
-        pairs = materialise(_open_pairs(bucketed, sketch, found, tested, most), "tested")
+        mixed = materialise(_mixed(mixed.select("bucket", "id"), found, sketch), "mixed")
+        pairs = materialise(_open_pairs(mixed, tested, most), "tested")
         if pairs.isEmpty():
             break
+        links = materialise(confirm(pairs, sets, percent), "links")
         tested = tested.unionByName(pairs.select("a", "b"))
-        more = confirm(pairs.select("a", "b"), sets, percent)
-        # two components of which a pair is linked become one; old members keep pointing to theirs
-        joined = found.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
-        found = materialise(components(materialise(joined, "links")), "components")
-        most *= 8
+        if not links.isEmpty():
+            found = materialise(_merged(found, pairs.join(links, ["a", "b"], "left_semi")), "components")
+        most *= 32
 
     class_of = classes.select("name", "id").join(found, "id", "left").select(
         "name", F.coalesce("comp", "id").alias("_comp")
@@ -290,27 +290,42 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     )
 
 
-def _open_pairs(bucketed: DataFrame, sketch: DataFrame, found: DataFrame, tested: DataFrame, most: int) -> DataFrame:
-    """Untested pairs of one bucket in different components whose sketches allow a link.
+def _merged(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """``found`` after the components ``ca`` and ``cb`` of each linked pair have become one."""
+    joined = components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    # a document that was alone is its own component
+    alone = joined.select("id", F.col("id").alias("comp")).join(found, "id", "left_anti")
+    moved = joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
+    return found.unionByName(alone).join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp"))
 
-    Of each pair of components the ``most`` most similar ones. In a bucket, what is not of its
-    most frequent component is compared with all; so the frequent one is never compared with itself.
+
+def _mixed(bucketed: DataFrame, found: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(bucket, id, comp, major, sketch) of the buckets whose members are in several components.
+
+    ``major`` is the component with most members. A bucket in one component stays so, and is
+    never looked at again.
     """
-    placed = bucketed.select("bucket", "id").join(found, "id", "left").select(
-        "bucket", "id", F.coalesce("comp", "id").alias("comp")
-    )
+    placed = bucketed.join(found, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(
+    several = sizes.groupBy("bucket").agg(
         F.max_by("comp", "c").alias("major"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    mixed = mixed.filter("lo < hi").select("bucket", "major")
-    here = materialise(placed.join(mixed, "bucket").join(sketch, "id"), "mixed")
-    rare = here.filter("comp != major").select(
+    several = several.filter("lo < hi").select("bucket", "major")
+    return placed.join(several, "bucket").join(sketch, "id").select("bucket", "id", "comp", "major", "sketch")
+
+
+def _open_pairs(mixed: DataFrame, tested: DataFrame, most: int) -> DataFrame:
+    """(a, b, ca, cb): untested pairs of one bucket in different components whose sketches allow a link.
+
+    Of each pair of components the ``most`` most similar ones. In a bucket, what is not of its
+    most frequent component is compared with all; so the frequent one is never compared with itself.
+    """
+    rare = mixed.filter("comp != major").select(
         "bucket", F.col("id").alias("r"), F.col("comp").alias("rc"), F.col("sketch").alias("rs")
     )
     differ = _differing(F.col("rs"), F.col("sketch"))
     once = (F.col("comp") == F.col("major")) | (F.col("r") < F.col("id"))
-    pairs = rare.join(here, "bucket").filter((F.col("rc") != F.col("comp")) & once & (differ <= xor_limit()))
+    pairs = rare.join(mixed, "bucket").filter((F.col("rc") != F.col("comp")) & once & (differ <= xor_limit()))
     pairs = pairs.select(
         F.least("r", "id").alias("a"),
         F.greatest("r", "id").alias("b"),
@@ -320,4 +335,4 @@ def _open_pairs(bucketed: DataFrame, sketch: DataFrame, found: DataFrame, tested
     ).distinct()
     fresh = pairs.join(tested, ["a", "b"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("x", "a", "b"))
-    return fresh.withColumn("rank", rank).filter(F.col("rank") <= most).select("a", "b")
+    return fresh.withColumn("rank", rank).filter(F.col("rank") <= most).select("a", "b", "ca", "cb")
