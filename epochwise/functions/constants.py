@@ -24,17 +24,13 @@ CHANNEL_FEATURES = [
 ]
 FEATURES = [f"{n}_mean" for n in CHANNEL_FEATURES] + [f"{n}_std" for n in CHANNEL_FEATURES]
 
-# Epoch length in seconds, sampling rates, Welch segment length.
-EPOCH_SECONDS = 8
-RATE_A = 256
-RATE_B = 256
+# Rate of the raw segments, Welch segment length.
 SEGMENT_RATE = 173.61
 NPERSEG = 512
 
 # Caps, thresholds and alert levels.
 NEGATIVES_PER_POSITIVE = 8
 NEGATIVE_FILES = 2
-TRAIN_CAP = 4000
 SWEEP_TENTHS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 SWEEP_OPERATING = [0.5, 0.4, 0.3, 0.25, 0.2, 0.15]
 SPECIFICITY_TARGETS = [0.90, 0.95, 0.99]

@@ -147,6 +147,34 @@ def bandpass_taps(half: int, lo: float, hi: float, rate: float) -> list[float]:
     return [float(v) for v in taps / gain]
 
 
+def convolved(idx: np.ndarray, value: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Centred convolution at the places ``idx``; what is between them and outside counts as zero."""
+    dense = np.zeros(int(idx[-1] - idx[0]) + 1)
+    dense[idx - idx[0]] = value
+    half = len(taps) // 2
+    if len(taps) <= 64:
+        full = np.convolve(dense, taps)
+    else:
+        size = len(dense) + len(taps) - 1
+        full = np.fft.irfft(np.fft.rfft(dense, size) * np.fft.rfft(taps, size), size)
+    return full[half + idx - idx[0]]
+
+
+def fir_udf(taps: list[float]):
+    """(indices, values) of a block to its filtered values, at the same indices.
+
+    ``taps`` may be of any odd number, and are taken in the order of a correlation.
+    """
+    kernel = np.array(taps)[::-1].copy()
+
+    @F.arrow_udf("array<double>")
+    def fir(idx: pa.Array, value: pa.Array) -> pa.Array:
+        rows = [convolved(np.array(i.as_py()), np.array(v.as_py()), kernel) for i, v in zip(idx, value)]
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    return fir
+
+
 def morlet_kernels(scales: list[int], precision: int = 10) -> dict[int, np.ndarray]:
     """FIR kernel per scale for the real Morlet wavelet exp(-x^2/2) cos(5x) on [-8, 8].
 

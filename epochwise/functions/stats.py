@@ -77,12 +77,10 @@ def signed_rank_exact(w: float, n: int) -> float:
     return float(min(1.0, 2.0 * ways[: int(math.floor(w)) + 1].sum() / 2.0**n))
 
 
-def signed_rank_p(w: float, n: float, tie_term: float, zeros: float) -> float:
-    """Exact for n <= 50 without ties or zeros, else normal approximation with tie correction."""
-    if n != n or n < 1:
+def signed_rank_normal(w: float, n: float, tie_term: float) -> float:
+    """Normal approximation with tie correction."""
+    if n < 1:
         return float("nan")
-    if n <= 50 and tie_term == 0 and zeros == 0:
-        return signed_rank_exact(w, int(n))
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - tie_term / 48.0
     return normal_two_sided((w - mean) / math.sqrt(var)) if var > 0 else float("nan")
@@ -118,8 +116,13 @@ def normal_pvalue(z: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def signed_rank_pvalue(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
-    return _columns(signed_rank_p, w, n, ties, zeros)
+def signed_rank_exact_pvalue(w: pd.Series, n: pd.Series) -> pd.Series:
+    return _columns(lambda a, b: signed_rank_exact(a, int(b)) if b >= 1 else float("nan"), w, n)
+
+
+@F.pandas_udf(T.DoubleType())
+def signed_rank_normal_pvalue(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    return _columns(signed_rank_normal, w, n, ties)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -67,7 +67,7 @@ def bootstrap(values: DataFrame, keys: Sequence[str], group: str = "subject", va
     """
     values = materialise(values.select(*keys, group, value), "bootstrap")
     ranked = ordering.exact_rank(
-        values, keys, [F.col(group)], F.substring(group, 1, 4), out="_j", total="_n"
+        values, keys, [F.col(group)], ordering.sketch_bucket(values, group), out="_j", total="_n"
     ).withColumn("_j", F.col("_j") - 1)
     ranked = materialise(ranked, "bootstrap-ranked")
     b = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")
@@ -91,10 +91,12 @@ def paired(long: DataFrame, keys: Sequence[str], model: str = "model", reference
     return met.select(*keys, model, group, (F.col(value) - F.col("_ref")).alias("d"))
 
 
-def wilcoxon(diffs: DataFrame, keys: Sequence[str], digits: int = 12, with_p: bool = True) -> DataFrame:
-    """Signed-rank test on ``d``: (keys, n, w, mean_delta, p).
+def wilcoxon(diffs: DataFrame, keys: Sequence[str], digits: int = 12, with_p: bool = True, method: str = "auto") -> DataFrame:
+    """Signed-rank test on ``d``: (keys, n, w, mean_delta, p, p_method).
 
-    Zero differences are dropped. Equal absolute differences are counted before they are
+    ``method``: ``exact`` or ``normal``; ``auto`` takes the exact distribution where it is known and
+    cheap, without ties and zeros and up to 50 pairs. ``p_method`` says which a row got; an
+    exact p asked for in the presence of ties or zeros is null. Zero differences are dropped. Equal absolute differences are counted before they are
     ranked, and ranks come from bucketed running sums.
     """
     base = materialise(diffs.select(*keys, "d", F.round("d", digits).alias("_d")), "paired")
@@ -106,8 +108,8 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], digits: int = 12, with_p: bo
         .groupBy(*keys, F.abs("_d").alias("_a"))
         .agg(F.count(F.lit(1)).alias("_c"), F.sum((F.col("_d") > 0).cast("bigint")).alias("_plus"))
     )
-    level = F.least(F.floor(F.col("_a") * 4096), F.lit(2**40))
-    ranked = ordering.running(sizes, keys, level, [F.col("_a")], {"c": F.col("_c")})
+    placed = ordering.with_level(materialise(sizes, "paired-sizes"), "_a", "_level")
+    ranked = ordering.running(placed, keys, F.col("_level"), [F.col("_a")], {"c": F.col("_c")})
     mid = F.col("cum_c") - (F.col("_c") - 1) / 2.0
     sums = ranked.groupBy(*keys).agg(
         F.max("all_c").cast("bigint").alias("n"),
@@ -119,10 +121,17 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], digits: int = 12, with_p: bo
         *keys, F.coalesce("n", F.lit(0)).alias("n"), F.least("_wp", "_wm").alias("w"), "mean_delta", "_ties", "_zeros"
     )
     if with_p:
-        out = out.withColumn(
+        ties = F.coalesce("_ties", F.lit(0.0))
+        known = (ties == 0) & (F.col("_zeros") == 0)
+        if method == "auto":
+            how = F.when(known & (F.col("n") <= 50), "exact").otherwise("normal")
+        else:
+            how = F.when(known | F.lit(method == "normal"), F.lit(method))
+        n = F.col("n").cast("double")
+        out = out.withColumn("p_method", how).withColumn(
             "p",
-            stats.signed_rank_pvalue(
-                "w", F.col("n").cast("double"), F.coalesce("_ties", F.lit(0.0)), F.col("_zeros").cast("double")
+            F.when(F.col("p_method") == "exact", stats.signed_rank_exact_pvalue("w", n)).when(
+                F.col("p_method") == "normal", stats.signed_rank_normal_pvalue("w", n, ties)
             ),
         )
     return out.drop("_ties", "_zeros")

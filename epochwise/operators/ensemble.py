@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochwise.operators.attach import attach
+
 
 def soft_vote(members: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Average score per row over the member models."""
@@ -21,5 +23,5 @@ def majority(rows: DataFrame, group: str = "subject") -> DataFrame:
     prior = per.join(F.broadcast(total)).select(
         group, ((F.col("_tp") - F.col("_pos")) / (F.col("_tn") - F.col("_n"))).alias("p")
     )
-    out = rows.join(prior, group)
+    out = attach(rows, prior, [group])
     return out.withColumn("pred", (F.col("p") >= 0.5).cast("int"))

@@ -16,9 +16,9 @@ from pyspark.sql.window import Window
 from epochwise.functions.constants import SPECIFICITY_TARGETS
 from epochwise.functions.exprs import METRICS, confusion_aggs, metric_exprs, ratio
 from epochwise.operators import ordering
+from epochwise.session import materialise
 
 BY = ["model", "protocol"]
-SCORE_BUCKETS = 4096
 
 
 def confusion(scored: DataFrame, by: Sequence[str] = tuple(BY), thr: float = 0.5) -> DataFrame:
@@ -51,18 +51,19 @@ def score_counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def operating_points(scored: DataFrame, by: Sequence[str] = tuple(BY), lo: float = 0.0, hi: float = 1.0, counted: bool = False) -> DataFrame:
+def operating_points(scored: DataFrame, by: Sequence[str] = tuple(BY), counted: bool = False) -> DataFrame:
     """Per distinct score, descending: cum_pos, cum_neg at p >= score, and all_pos, all_neg.
 
-    ``lo`` and ``hi`` only set the bucket grid; scores outside go to the end buckets.
-    ``counted`` says that ``scored`` already is a table of ``score_counts``.
+    Scores are counted once and stored. Buckets are cut at quantiles of the distinct scores, so
+    scores crowded near 0 are spread like any others. ``counted`` says that ``scored`` already
+    is a table of ``score_counts``.
     """
-    counts = scored if counted else score_counts(scored, by)
-    scaled = (F.col("p") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(SCORE_BUCKETS))
-    level = F.greatest(F.lit(0), F.least(F.lit(SCORE_BUCKETS), F.floor(scaled)))
-    return ordering.running(
-        counts, by, -level, [F.col("p").desc()], {"pos": F.col("pos"), "neg": F.col("neg")}
+    counts = materialise(scored if counted else score_counts(scored, by), "score-counts")
+    placed = ordering.with_level(counts, "p", "_level")
+    points = ordering.running(
+        placed, by, -F.col("_level"), [F.col("p").desc()], {"pos": F.col("pos"), "neg": F.col("neg")}
     )
+    return points.drop("_level")
 
 
 def _auc_sum() -> Column:

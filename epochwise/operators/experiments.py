@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from epochwise.operators import evaluate, folds, models, ordering, prep
 from epochwise.operators.models import Spec
 from epochwise.operators.selection import _weights, standardised
-from epochwise.session import materialise
+from epochwise.session import discard, materialise
 
 
-def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: Sequence[str], specs: Sequence[Spec], parallel: int = 2) -> DataFrame:
+def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: Sequence[str], specs: Sequence[Spec | models.Scorer], parallel: int = 4) -> DataFrame:
     """Dataset x scaler x model x protocol: one metric row per cell, or its failure.
 
+    A fold whose training side has one class can't be fitted. It is skipped and said so:
+    ``n_scored`` of ``n_rows`` rows have a score, ``folds_skipped`` folds have none.
+
     ``datasets`` maps a name to (stored rows, columns, protocols). The scored rows of all cells
     are evaluated together at the end.
     """
@@ -29,6 +32,7 @@ def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: S
         for protocol in protocols
     ]
     failed: list[tuple] = []
+    coverage: list[tuple] = []
     # folds, weights and scalings are shared by all cells of a dataset and protocol
     ready = {}
     for name, (rows, cols, protocols) in datasets.items():
@@ -44,10 +48,18 @@ def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: S
         name, scaler, spec, protocol = cell
         try:
             at = ready[name, protocol]
+            if isinstance(spec, models.Scorer):
+                moved = materialise(folds.scale_held_out(at.rows, at.fold, at.cols, scaler), "scaled")
+                found = spec.score(moved, at.cols, at.fold).select("id", "subject", "y", "fold", "p")
+                named = {"model": spec.name, "protocol": protocol, "dataset": name, "scaler": scaler}
+                scored = materialise(found.withColumns({k: F.lit(v) for k, v in named.items()}), "scored")
+                coverage.append((name, scaler, spec.name, protocol, scored.count(), at.count(), 0))
+                return scored
             scored = models.out_of_fold(at, at.cols, spec, scale=scaler, protocol=protocol, skip_one_class=True)
+            coverage.append((name, scaler, spec.name, protocol, scored.count(), at.count(), len(at.one_class())))
             return scored.withColumns({"dataset": F.lit(name), "scaler": F.lit(scaler)})
         except Exception as e:  # a failed cell is reported, the grid goes on
-            failed.append((name, scaler, spec.name, protocol, str(e)[:200]))
+            failed.append((name, scaler, spec.name, protocol, str(e)))
             return None
 
     parts = [p for p in models.concurrently([lambda c=c: run(c) for c in cells], parallel) if p is not None]
@@ -57,18 +69,22 @@ def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: S
     if not parts:
         return bad
     scored = reduce(DataFrame.unionByName, parts)
-    result = evaluate.pooled_vs_macro(scored, keys)
+    covered = ", ".join(f"{k} string" for k in keys) + ", n_scored long, n_rows long, folds_skipped int"
+    # one row per cell
+    result = evaluate.pooled_vs_macro(scored, keys).join(F.broadcast(spark.createDataFrame(coverage, covered)), keys)
     return result.withColumn("failure", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
 def sweep(rows: DataFrame, cols: Sequence[str], specs: Sequence[Spec], test_subject: str, inner: int = 3) -> DataFrame:
     """Settings compared inside the training subjects only; the best by AUC meets the test subject.
 
-    (model, inner_auc, chosen, test_auc). Inner folds group by subject too.
+    (model, inner_auc, chosen, test_auc, folds_skipped). Inner folds group by subject too; those
+    whose training side has one class are skipped and counted.
     """
     train = materialise(folds.group_kfold(rows.filter(F.col("subject") != test_subject), inner), "sweep")
     ready = models.Prepared(train, cols, "fold")
     scored = reduce(DataFrame.unionByName, [models.out_of_fold(ready, cols, s, skip_one_class=True) for s in specs])
+    skipped = len(ready.one_class())
     inner_auc = evaluate.roc_auc(scored, ["model"]).collect()  # one row per setting
     ranked = sorted(((r.auc if r.auc is not None else -1.0, r.model) for r in inner_auc), key=lambda t: (-t[0], t[1]))
     best = ranked[0][1]
@@ -78,15 +94,15 @@ def sweep(rows: DataFrame, cols: Sequence[str], specs: Sequence[Spec], test_subj
     test = rows.filter(F.col("subject") == test_subject)
     out = model.transform(models.vectors(test, cols, sc)).select("y", models.class_one_score(model).alias("p"), F.lit(best).alias("model"))
     got = evaluate.roc_auc(out, ["model"]).first()
-    table = [(m, float(a), int(m == best), float(got.auc) if m == best and got.auc is not None else None) for a, m in ranked]
-    return rows.sparkSession.createDataFrame(table, "model string, inner_auc double, chosen int, test_auc double")
+    table = [(m, float(a), int(m == best), float(got.auc) if m == best and got.auc is not None else None, skipped) for a, m in ranked]
+    return rows.sparkSession.createDataFrame(table, "model string, inner_auc double, chosen int, test_auc double, folds_skipped int")
 
 
 def active_learning(rows: DataFrame, cols: Sequence[str], spec: Spec, strategy: str = "uncertainty", seed_n: int = 150, batch: int = 100, rounds: int = 8, seed: str = "42", id_col: str = "id", test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(history, audit): label the rows the model is least sure of, or random ones, round by round.
 
     The labelled set is a table of ids, written each round; one round adds ``batch`` ids by a
-    distributed top-k. The audit keeps the first five queries of a round.
+    distributed top-k. The audit holds every query of every round, with its place in the round.
     """
     spark = rows.sparkSession
     split = materialise(folds.holdout(rows, id_col, test_share, seed), "active")
@@ -110,11 +126,14 @@ def active_learning(rows: DataFrame, cols: Sequence[str], spec: Spec, strategy:
         picked = materialise(picked, f"picked-{r}")
         if picked.isEmpty():
             break
-        audit += [(r, strategy, int(a[id_col]), int(a.y)) for a in picked.orderBy("_u", id_col).limit(5).collect()]
-        labelled = materialise(labelled.unionByName(picked.select(id_col)), f"labelled-{r + 1}")
+        audit.append(picked.select(F.lit(r).alias("round"), F.lit(strategy).alias("strategy"), F.col(id_col).cast("bigint").alias("queried_index"), F.col("y").cast("int").alias("human_label"), F.col("_u").cast("string").alias("order_key")))
+        more = materialise(labelled.unionByName(picked.select(id_col)), f"labelled-{r + 1}")
+        discard(known, labelled)
+        labelled = more
     hist = spark.createDataFrame(history, "round int, strategy string, n_labelled long, test_accuracy double, test_sensitivity double")
-    log = spark.createDataFrame(audit, "round int, strategy string, queried_index long, human_label int")
-    return hist, log
+    # fixed values: the first four names are those of a published audit row
+    none = spark.createDataFrame([], "round int, strategy string, queried_index long, human_label int, order_key string")
+    return hist, reduce(DataFrame.unionByName, audit, none)
 
 
 def calibrated(rows: DataFrame, cols: Sequence[str], spec: Spec, fold: str = "subject", inner: int = 3) -> DataFrame:

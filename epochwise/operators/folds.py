@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epochwise.operators import ordering
+from epochwise.operators.attach import attach
 
 
 def holdout(rows: DataFrame, id_col: str, share: float = 0.2, seed: str = "42") -> DataFrame:
@@ -30,9 +31,9 @@ def stratified_kfold(rows: DataFrame, id_col: str, k: int = 5, seed: str = "42")
 def leave_one_group_out(rows: DataFrame, group: str = "subject") -> DataFrame:
     """``fold`` = rank of the group in name order."""
     groups = rows.select(group).distinct()
-    ranked = ordering.exact_rank(groups, [], [F.col(group)], F.substring(group, 1, 3), out="_rn")
+    ranked = ordering.exact_rank(groups, [], [F.col(group)], ordering.sketch_bucket(groups, group), out="_rn")
     numbered = ranked.select(group, (F.col("_rn") - 1).cast("int").alias("fold"))
-    return rows.join(numbered, group)
+    return attach(rows, numbered, [group])
 
 
 def group_kfold(rows: DataFrame, k: int = 5, group: str = "subject", seed: str = "42") -> DataFrame:
@@ -107,7 +108,7 @@ def held_out_ranges(rows: DataFrame, group: str, cols: Sequence[str]) -> DataFra
 def scale_held_out(rows: DataFrame, group: str, cols: Sequence[str], kind: str = "standard") -> DataFrame:
     """Each row scaled as a test row: by the statistics of all other groups."""
     stats = held_out_moments(rows, group, cols) if kind == "standard" else held_out_ranges(rows, group, cols)
-    joined = rows.join(stats.drop("n"), group)
+    joined = attach(rows, stats.drop("n"), [group])
     div = [F.when(F.col("b")[i] == 0, 1.0).otherwise(F.col("b")[i]) for i in range(len(cols))]
     scaled = [((F.col(c) - F.col("a")[i]) / div[i]).alias(c) for i, c in enumerate(cols)]
     keep = [c for c in rows.columns if c not in cols]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from epochwise.operators import events, folds
 from epochwise.session import materialise
 
+#: Most folds of models that are fitted once per fold; a parameter of ``fold_ids`` and ``Prepared``.
 MAX_FOLDS = 256
 
 
@@ -42,12 +43,23 @@ class Spec:
     scaled: bool = True
 
 
-def random_forest(trees: int = 300, depth: int = 12, seed: int = 42, name: str = "rf") -> Spec:
+@dataclass
+class Scorer:
+    """A model without a fit per fold: (rows, columns, fold column) to (id, subject, y, fold, p)."""
+
+    name: str
+    score: Callable[[DataFrame, list[str], str], DataFrame]
+
+
+def random_forest(trees: int = 300, depth: int = 12, seed: int = 42, name: str = "rf", weighted: bool = True) -> Spec:
+    """``weighted``: classes weigh inversely to their size, else all rows weigh one."""
     return Spec(
         name,
         lambda d: RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", weightCol="_w", labelCol="y", featuresCol="_x"
+            numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", labelCol="y", featuresCol="_x",
+            **({"weightCol": "_w"} if weighted else {}),
         ),
+        weighted=weighted,
         scaled=False,
     )
 
@@ -105,11 +117,11 @@ def class_one_score(model) -> Column:
     return 1.0 / (1.0 + F.exp(-vector_to_array("rawPrediction")[1]))
 
 
-def fold_ids(rows: DataFrame, fold: str) -> list:
+def fold_ids(rows: DataFrame, fold: str, most: int = MAX_FOLDS) -> list:
     """The fold labels; a bounded list, or an error that says how to get one."""
-    found = [r[0] for r in rows.select(fold).distinct().limit(MAX_FOLDS + 1).collect()]
-    if len(found) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} folds; use folds.group_kfold to hash groups into folds")
+    found = [r[0] for r in rows.select(fold).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} folds; use folds.group_kfold to hash groups into folds")
     return sorted(found)
 
 
@@ -119,9 +131,9 @@ class Prepared:
     What is collected is one row per fold (and class); the number of folds is checked.
     """
 
-    def __init__(self, rows: DataFrame, cols: Sequence[str], fold: str):
+    def __init__(self, rows: DataFrame, cols: Sequence[str], fold: str, most: int = MAX_FOLDS):
         self.rows, self.cols, self.fold = rows, list(cols), fold
-        self.ids = fold_ids(rows, fold)
+        self.ids = fold_ids(rows, fold, most)
         self.weights: dict = {}
         for r in folds.class_weights(rows, fold).collect():
             self.weights.setdefault(r[fold], {})[r["y"]] = r["weight"]
@@ -138,6 +150,10 @@ class Prepared:
             }
         return self._scales[kind]
 
+    def one_class(self) -> list:
+        """Folds whose training side has fewer than two classes."""
+        return [f for f in self.ids if len(self.weights.get(f, {})) < 2]
+
     def count(self) -> int:
         if self._count is None:
             self._count = self.rows.count()
@@ -189,7 +205,8 @@ def out_of_fold(
     """Scores of every row by a model that never saw its fold: (id, keep, fold, p, model, protocol).
 
     ``rows`` should be a stored table, as each fold scans it. ``select`` picks columns from the
-    training rows of a fold, so a selection stays inside it. Fails if any row is left unscored.
+    training rows of a fold, so a selection stays inside it. Fails if any row is left unscored;
+    with ``skip_one_class`` the rows of ``Prepared.one_class()`` folds are, and no others.
     """
     ready = rows if isinstance(rows, Prepared) else Prepared(rows, cols, fold)
     stats = ready.scale(scale if spec.scaled else None)
@@ -209,14 +226,16 @@ def out_of_fold(
         return scored.select(*out, F.col(ready.fold).cast("string").alias("fold"), class_one_score(model).alias("p"))
 
     parts = [p for p in concurrently([lambda f=f: run(f) for f in ready.ids], parallel) if p is not None]
+    if not parts:
+        raise ValueError("no fold has two classes on its training side")
     scored = reduce(DataFrame.unionByName, parts)
     stored = materialise(
         scored.withColumns({"model": F.lit(spec.name), "protocol": F.lit(protocol)}), f"scored-{spec.name}"
     )
-    if not skip_one_class:
-        expect, got = ready.count(), stored.count()
-        if expect != got:
-            raise RuntimeError(f"{expect - got} rows have no out-of-fold score")
+    got, skipped = stored.count(), ready.one_class()
+    expect = ready.count() - (ready.rows.filter(F.col(ready.fold).isin(skipped)).count() if skipped else 0)
+    if expect != got:
+        raise RuntimeError(f"{expect - got} rows have no out-of-fold score")
     return stored
 
 

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from epochwise.operators.attach import attach
+
 BUCKET = "_bucket"
 ALL = "_all"
 
@@ -96,6 +99,38 @@ def exact_rank(
     return joined.select(*keep, out, *extra)
 
 
+def sketch_bucket(df: DataFrame, col: str, buckets: int = 256, seed: int = 17) -> Column:
+    """A bucket that follows the order of ``col``, cut at quantiles of a small hash sample.
+
+    Whatever the values look like (ids with one stem, scores crowded near 0), buckets hold about
+    equally many distinct values. The sample only sets the cuts, so results don't depend on it; it
+    has at most 16 values a bucket.
+    """
+    order = F.xxhash64(F.lit(seed), col)
+    sample = df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(order, col).limit(16 * buckets)
+    found = sorted(r[0] for r in sample.collect())
+    cuts = found[16::16] if len(found) > 16 else []
+    if not cuts:
+        return F.lit(0)
+    # nulls are not above any cut
+    return F.size(F.filter(F.lit(cuts).cast(f"array<{df.schema[col].dataType.simpleString()}>"), lambda c: c <= F.col(col)))
+
+
+def with_level(df: DataFrame, col: str, out: str, buckets: int = 512) -> DataFrame:
+    """Add ``out``, a bucket number that follows the order of a numeric column, cut at its quantiles.
+
+    The quantiles are those of a mergeable sketch; they only set the cuts. Nulls and NaN get the
+    highest bucket.
+    """
+    sketch = F.percentile_approx(F.col(col).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)
+    found = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).agg(sketch).first()[0]
+    cuts = sorted(set(found or []) - {float("inf"), float("-inf")})
+    if not cuts:
+        return df.withColumn(out, F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+
+
 def hash_key(id_col: str | Column, seed: str = "42") -> Column:
     """A portable pseudo-random order key: the md5 of seed and id, as hex text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -163,7 +198,7 @@ def quantiles(
         *[c.alias(f"_hi{i}") for i, c in enumerate(hi)],
     )
     # values are counted before the shuffle, so repeated values cost one row
-    counted = base.join(brackets, keys)
+    counted = attach(base, brackets, keys)
     inside = [(F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")) for i in range(m)]
     any_inside = inside[0]
     for cond in inside[1:]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epochwise.functions.constants import EPS, NEGATIVE_FILES, NEGATIVES_PER_POSITIVE
 from epochwise.operators import ordering
+from epochwise.operators.attach import attach
 
 
 def to_long(wide: DataFrame, ids: Sequence[str], channels: Sequence[str]) -> DataFrame:
@@ -23,7 +24,8 @@ def live_channels(samples: DataFrame, keys: Sequence[str] = ("subject", "recordi
 
 
 def drop_dead_channels(samples: DataFrame, keys: Sequence[str] = ("subject", "recording", "channel"), floor: float = 1e-9) -> DataFrame:
-    return samples.join(live_channels(samples, keys, floor), list(keys), "left_semi")
+    live = live_channels(samples, keys, floor).select(*keys)
+    return attach(samples, live, keys, "left_semi")
 
 
 def epoch_count(length: Column, n: int, lose_last: bool = False) -> Column:
@@ -82,11 +84,13 @@ def label_by_overlap(epochs: DataFrame, intervals: DataFrame, n: int, keys: Sequ
 
 
 def resample(samples: DataFrame, keys: Sequence[str], factor: int) -> DataFrame:
-    """Integer decimation by block mean (run the band-pass first)."""
+    """Integer decimation by block mean (run the band-pass first); whole blocks only."""
     return (
         samples.withColumn("idx", F.floor(F.col("idx") / factor))
         .groupBy(*keys, "idx")
-        .agg(F.avg("value").alias("value"))
+        .agg(F.avg("value").alias("value"), F.count("value").alias("_n"))
+        .filter(F.col("_n") == factor)
+        .drop("_n")
     )
 
 
@@ -96,7 +100,7 @@ def cap_negatives(rows: DataFrame, id_col: str, per_positive: int = NEGATIVES_PE
     A subject without positives is left whole, as nothing is balanced there.
     """
     counts = rows.groupBy("subject").agg(F.sum("y").cast("bigint").alias("_pos"))
-    negatives = rows.filter("y = 0").join(counts, "subject")
+    negatives = attach(rows.filter("y = 0"), counts, ["subject"])
     limit = F.when(F.col("_pos") > 0, F.col("_pos") * per_positive).otherwise(F.lit(2**62))
     kept = ordering.hash_rank(negatives, ["subject"], id_col, seed, digits, out="_rn", limit=limit)
     return rows.filter("y = 1").unionByName(kept.select(*rows.columns))
@@ -114,7 +118,7 @@ def cap_files(recordings: DataFrame, negatives: int = NEGATIVE_FILES, seed: str
 def with_positives(rows: DataFrame, key: str = "subject") -> DataFrame:
     """Keep only the rows of subjects that have a positive."""
     usable = rows.groupBy(key).agg(F.max("y").alias("_any")).filter("_any = 1").select(key)
-    return rows.join(usable, key, "left_semi")
+    return attach(rows, usable, [key], "left_semi")
 
 
 def balance(rows: DataFrame, id_col: str, per_class: int | None = None, seed: str = "42") -> DataFrame:
@@ -143,5 +147,5 @@ def log_scale(names: Sequence[str], eps: float = EPS) -> list[Column]:
 def tensor_zscore(df: DataFrame, value: str, eps: float = 1e-6, keys: Sequence[str] = ()) -> DataFrame:
     """(x - mean) / (population sd + eps) over everything, or per key."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    joined = df.join(stats, list(keys)) if keys else df.join(F.broadcast(stats))
+    joined = attach(df, stats, keys) if keys else df.join(F.broadcast(stats))
     return joined.withColumn(value, (F.col(value) - F.col("_m")) / (F.col("_s") + F.lit(eps))).drop("_m", "_s")

@@ -13,13 +13,14 @@ from pyspark.sql.window import Window
 from epochwise.functions import stats
 from epochwise.functions.exprs import ratio, stack_columns
 from epochwise.operators import ordering
+from epochwise.operators.attach import attach
 
 
 def histogram(long: DataFrame, bins: int, key: str = "feature", value: str = "value", cls: str = "y") -> DataFrame:
     """Density per (feature, class, bin) on common edges; the top edge belongs to the last bin."""
     span = long.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    placed = long.join(span, key).withColumn("_w", width)
+    placed = attach(long, span, [key]).withColumn("_w", width)
     at = F.when(F.col("_w") == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / F.when(F.col("_w") == 0, 1.0).otherwise(F.col("_w"))), F.lit(bins - 1))
     )
@@ -147,7 +148,7 @@ def mutual_info_binned(rows: DataFrame, cols: Sequence[str], bins: int = 10) ->
     inner = [i / bins for i in range(1, bins)]
     edges = ordering.quantiles(long, ["feature"], "value", inner)
     edges = edges.groupBy("feature").agg(F.sort_array(F.collect_list("x")).alias("_e"))
-    placed = long.join(edges, "feature").withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("value"))))
+    placed = attach(long, edges, ["feature"]).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("value"))))
     joint = placed.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
     n = F.sum("c").over(Window.partitionBy("feature"))
     nb = F.sum("c").over(Window.partitionBy("feature", "bin"))

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epochwise.functions import dsp
-from epochwise.functions.constants import BANDS, CHANNEL_FEATURES, EPS
+from epochwise.functions.constants import BANDS, CHANNEL_FEATURES, EPS, NEGATIVES_PER_POSITIVE
+from epochwise.operators import prep
 
 KEYS = ["subject", "recording", "epoch"]
 
 
 def segments(numbered: DataFrame, channels: Sequence[str], n: int) -> DataFrame:
-    """(subject, recording, epoch, channel, x): whole epochs only, x sorted by index."""
+    """(subject, recording, epoch, channel, x): whole epochs only, x sorted by index.
+
+    A channel that is absent from an epoch, or has a gap in it, has no row for that epoch.
+    """
     instant = F.struct("idx", *[F.col(c).cast("double").alias(c) for c in channels])
     grouped = (
         numbered.withColumn("epoch", F.floor(F.col("idx") / n))
@@ -29,7 +33,42 @@ def segments(numbered: DataFrame, channels: Sequence[str], n: int) -> DataFrame:
         .filter(F.size("s") == n)
     )
     per_channel = [F.struct(F.lit(c).alias("channel"), F.col(f"s.{c}").alias("x")) for c in channels]
-    return grouped.select(*KEYS, F.inline(F.array(*per_channel)))
+    return _without_gaps(grouped.select(*KEYS, F.inline(F.array(*per_channel))))
+
+
+def _without_gaps(segs: DataFrame) -> DataFrame:
+    return segs.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+
+def long_segments(samples: DataFrame, n: int) -> DataFrame:
+    """The same from long rows (subject, recording, channel, idx, value), as the readers give them.
+
+    Channels may differ between recordings; each is cut on its own.
+    """
+    grouped = (
+        samples.filter(F.col("value").isNotNull())
+        .groupBy("subject", "recording", F.floor(F.col("idx") / n).alias("epoch"), "channel")
+        .agg(F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("value")))).alias("s"))
+        .filter(F.size("s") == n)
+    )
+    return _without_gaps(grouped.select(*KEYS, "channel", F.col("s.value").alias("x")))
+
+
+def raw_to_features(
+    samples: DataFrame, intervals: DataFrame, taps: Sequence[float], n: int, rate: float, nperseg: int,
+    per_positive: int = NEGATIVES_PER_POSITIVE, block: int = 4096,
+) -> DataFrame:
+    """Samples of any set of channels to labelled feature rows with capped negatives.
+
+    Dead channels go first, as the filter would give a constant channel edges; then band-pass,
+    epochs, features over the live channels of an epoch, labels, and the cap per subject.
+    """
+    channel = ["subject", "recording", "channel"]
+    live = prep.drop_dead_channels(samples.filter(F.col("value").isNotNull()), channel)
+    segs = long_segments(fir(live, channel, taps, block), n)
+    labelled = prep.label_by_index(epoch_features(segs, rate, nperseg), intervals, n)
+    named = labelled.withColumn("_id", F.concat_ws("/", *[F.col(k).cast("string") for k in KEYS]))
+    return prep.cap_negatives(named, "_id", per_positive).drop("_id")
 
 
 def channel_features(segs: DataFrame, rate: float, nperseg: int, log_scale: bool = True, eps: float = EPS, x: str = "x") -> DataFrame:
@@ -149,26 +188,20 @@ def cwt(segs: DataFrame, length: int, scales: Sequence[int], x: str = "x") -> Da
 
 
 def fir(samples: DataFrame, keys: Sequence[str], taps: Sequence[float], block: int = 4096) -> DataFrame:
-    """Zero-phase FIR along ``idx``; zero padding at the ends of a recording.
+    """Zero-phase FIR along ``idx``; zero padding at the ends of a recording and in gaps.
 
     A recording is cut into blocks. Rows within ``half`` of a border also go to the neighbouring
     block (at most two copies), so each block is filtered alone and a long recording is spread
-    over many tasks.
+    over many tasks. Blocks are convolved in Arrow batches.
     """
     half = len(taps) // 2
     block = max(block, 2 * half)
     first, last = F.floor((F.col("idx") - half) / block), F.floor((F.col("idx") + half) / block)
-    spread = samples.select(*keys, "idx", "value", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("_b"))
+    known = samples.filter(F.col("value").isNotNull())
+    spread = known.select(*keys, "idx", "value", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("_b"))
     grouped = spread.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_s"))
-    kernel = F.array(*[F.lit(float(t)) for t in taps])
-    n = F.size("_s")
-    zeros = F.array_repeat(F.lit(0.0), half)
-    padded = grouped.withColumn("_x", F.concat(zeros, F.col("_s.value"), zeros)).withColumn("_n", n)
-
-    def at(s: Column, i: Column) -> Column:
-        terms = F.zip_with(F.slice(F.col("_x"), i + 1, len(taps)), kernel, lambda a, b: a * b)
-        return F.struct(s["idx"].alias("idx"), F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v).alias("value"))
-
-    out = padded.select(*keys, "_b", F.explode(F.transform("_s", at)).alias("_r"))
-    own = F.floor(F.col("_r.idx") / block) == F.col("_b")
-    return out.filter(own).select(*keys, F.col("_r.idx").alias("idx"), F.col("_r.value").alias("value"))
+    at, value = F.col("_s.idx").cast("array<bigint>"), F.col("_s.value").cast("array<double>")
+    done = grouped.select(*keys, "_b", at.alias("_i"), dsp.fir_udf(list(taps))(at, value).alias("_y"))
+    out = done.select(*keys, "_b", F.explode(F.arrays_zip("_i", "_y")).alias("_r"))
+    own = F.floor(F.col("_r._i") / block) == F.col("_b")
+    return out.filter(own).select(*keys, F.col("_r._i").alias("idx"), F.col("_r._y").alias("value"))

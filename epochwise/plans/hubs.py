@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwise.operators import ordering, prep, signal
+from epochwise.session import materialise
 
 CHANNELS = ["value", "k", "minute"]
 EPOCH_N = 24
@@ -24,7 +25,7 @@ NPERSEG = 16
 RATE = 60.0
 ANNOTATION_VALUE = 150.0
 ANNOTATION_LEN = 4
-FEATS = [f"f{i:02d}" for i in range(1, 21)]
+FEATS = [f"f{i:02d}" for i in range(1, 65)]
 MODELS = ["rf", "lr", "svm", "vote"]
 PROTOCOLS = ["loso", "kfold"]
 SUBJECT_GROUPS = 8
@@ -86,7 +87,8 @@ class Hub:
         ranked = ordering.exact_rank(
             self.wide, ["subject", "recording"], [F.col("ts"), F.col("event_id")], slot, out="idx"
         )
-        return ranked.withColumn("idx", F.col("idx") - 1)
+        # stored once: samples, segments and annotations all start from it
+        return materialise(ranked.withColumn("idx", F.col("idx") - 1), "numbered")
 
     @cached_property
     def samples(self) -> DataFrame:

@@ -317,10 +317,27 @@ def disparate_impact(t: Hub):
     return out.select("model", "protocol", "lang", *[F.round(c, 6).alias(c) for c in ("rate", "sensitivity", "impact")], "fair")
 
 
-@query("corr_pruning")
+_PLACE = "list_position([" + ", ".join(f"'{c}'" for c in FEATS) + "], {}.feature)"
+
+
+@query(
+    "corr_pruning",
+    with_views("emb_long").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", pairs AS (
+    SELECT {_PLACE.format('a')} AS i, {_PLACE.format('b')} AS j, corr(a.value, b.value) AS r
+    FROM emb_long a JOIN emb_long b ON a.id = b.id AND a.feature <> b.feature GROUP BY ALL),
+    against AS (SELECT j, list(i) AS them FROM pairs WHERE i < j AND abs(r) > 0.15 GROUP BY j),
+    steps AS (
+    SELECT 1 AS pos, [1] AS kept
+    UNION ALL
+    SELECT pos + 1, CASE WHEN g.them IS NULL OR NOT list_has_any(kept, g.them) THEN list_append(kept, pos + 1) ELSE kept END
+    FROM steps s LEFT JOIN against g ON g.j = s.pos + 1 WHERE s.pos < {len(FEATS)})
+    SELECT feature, CAST(list_contains((SELECT kept FROM steps WHERE pos = {len(FEATS)}), {_PLACE.format('f')}) AS INT) AS kept
+    FROM (SELECT DISTINCT feature FROM emb_long) f""",
+)
 def corr_pruning(t: Hub):
-    kept = profile.prune_correlated(t.emb, FEATS, 0.15)
-    return t.emb.select(*kept).agg(*[F.round(F.avg(c), 6).alias(c) for c in kept])
+    kept = set(profile.prune_correlated(t.emb, FEATS, 0.15))
+    return t.spark.createDataFrame([(c, int(c in kept)) for c in FEATS], "feature string, kept int")
 
 
 @query(

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochwise.functions.constants import FEATURES
 from epochwise.operators import closed_form, evaluate, experiments, knn, models, selection
+from epochwise.operators.attach import attach
 from epochwise.plans.hubs import FEATS, Hub, with_views
 from epochwise.plans.registry import query
 from epochwise.session import materialise
 
-TREES = 20
-DEPTH = 5
+# fixed values: the published settings
+TREES, DEPTH = 300, 12
+HIDDEN = (64, 32)
+
+_scored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(t: Hub):
-    """The feature table, written once for the many scans of a fold loop."""
-    return materialise(t.emb, "features")
+    """The feature table, written once for the many scans of a fold loop; a subject's rows lie apart."""
+    spread = t.emb.repartition("subject", F.pmod("id", F.lit(4)))
+    return materialise(spread, "features", partition_by=["subject"])
 
 
 def forest(trees: int = TREES, depth: int = DEPTH, name: str = "rf"):
@@ -29,40 +36,62 @@ def summary(scored, by=("model", "protocol")):
     )
 
 
-@query("oof_random_forest")
-def oof_random_forest(t: Hub):
-    return summary(models.out_of_fold(stored(t), FEATS, forest()))
-
-
-@query("oof_random_forest_kfold")
-def oof_random_forest_kfold(t: Hub):
-    rows, fold = models.with_folds(stored(t), "kfold")
-    return summary(models.out_of_fold(materialise(rows, "folded"), FEATS, forest(), fold=fold, protocol="kfold"))
+def out_of_fold(t: Hub, spec, protocol: str = "loso") -> DataFrame:
+    """Scored rows of a model, stored once per session and folder: two queries look at them."""
+    key = (t.spark.sparkContext.applicationId, t.dir, f"{spec.name}-{protocol}")
+    if key not in _scored:
+        rows, fold = models.with_folds(stored(t), protocol)
+        if fold != "subject":
+            rows = materialise(rows, "folded")
+        _scored[key] = models.out_of_fold(rows, FEATS, spec, fold=fold, protocol=protocol)
+    return _scored[key]
 
 
-@query("oof_logistic")
-def oof_logistic(t: Hub):
-    return summary(models.out_of_fold(stored(t), FEATS, models.logistic()))
+def fold_facts(t: Hub, spec, protocol: str = "loso") -> DataFrame:
+    """What must hold whatever the model: all rows scored, once, within [0, 1], subjects apart."""
+    scored = out_of_fold(t, spec, protocol)
+    spread = scored.groupBy("subject").agg(F.count_distinct("fold").alias("_folds"))
+    per = attach(scored, spread, ["subject"]).groupBy("model", "protocol", "fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("id").alias("ids"),
+        F.sum("y").cast("bigint").alias("positives"),
+        F.sum((F.col("p").isNull() | F.isnan("p")).cast("bigint")).alias("unscored"),
+        F.sum(((F.col("p") < 0) | (F.col("p") > 1)).cast("bigint")).alias("outside"),
+        F.sum((F.col("_folds") > 1).cast("bigint")).alias("shared"),
+    )
+    return per.select("model", "protocol", "fold", "n", "ids", "positives", "unscored", "outside", "shared")
 
 
-@query("oof_boosting")
-def oof_boosting(t: Hub):
-    return summary(models.out_of_fold(stored(t), FEATS, models.boosting(rounds=5, depth=3)))
+def fold_facts_sql(model: str, protocol: str) -> str:
+    fold = "subject" if protocol == "loso" else "CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS VARCHAR)"
+    shared = "0" if protocol == "loso" else "CASE WHEN folds > 1 THEN 1 ELSE 0 END"
+    return (
+        with_views("emb", f=f"SELECT id, subject, y, {fold} AS fold FROM emb", s="SELECT subject, count(DISTINCT fold) AS folds FROM f GROUP BY subject")
+        + f"""SELECT '{model}' AS model, '{protocol}' AS protocol, fold, count(*) AS n, count(DISTINCT id) AS ids, CAST(sum(y) AS BIGINT) AS positives,
+        CAST(0 AS BIGINT) AS unscored, CAST(0 AS BIGINT) AS outside, CAST(sum({shared}) AS BIGINT) AS shared
+        FROM f JOIN s ON f.subject = s.subject GROUP BY fold"""
+    )
 
 
-@query("oof_linear_margin")
-def oof_linear_margin(t: Hub):
-    return summary(models.out_of_fold(stored(t), FEATS, models.linear_margin()))
+SPECS = {
+    "random_forest": forest(),
+    "logistic": models.logistic(),
+    "boosting": models.boosting(),
+    "linear_margin": models.linear_margin(),
+    "perceptron": models.perceptron(HIDDEN),
+    "gaussian_nb_ml": models.gaussian_nb(),
+}
 
 
-@query("oof_perceptron")
-def oof_perceptron(t: Hub):
-    return summary(models.out_of_fold(stored(t), FEATS, models.perceptron(hidden=(16, 8), iters=30)))
+def _register(name: str, spec, protocol: str) -> None:
+    label = f"oof_{name}" + ("" if protocol == "loso" else f"_{protocol}")
+    query(label)(lambda t: summary(out_of_fold(t, spec, protocol)))
+    query(f"{label}_folds", fold_facts_sql(spec.name, protocol))(lambda t: fold_facts(t, spec, protocol))
 
 
-@query("oof_gaussian_nb_ml")
-def oof_gaussian_nb_ml(t: Hub):
-    return summary(models.out_of_fold(stored(t), FEATS, models.gaussian_nb()))
+for _name, _spec in SPECS.items():
+    _register(_name, _spec, "loso")
+_register("random_forest", SPECS["random_forest"], "kfold")
 
 
 @query("lda")
@@ -120,20 +149,45 @@ def multiclass_forest(t: Hub):
     return evaluate.multiclass(pred, list(range(10)), 0)["recall"].withColumn("recall", F.round("recall", 6))
 
 
+def epoch_rows(t: Hub) -> DataFrame:
+    """The flagship's 20 features as a data set: id, subject, y."""
+    named = F.concat_ws("/", "subject", "recording", F.col("epoch").cast("string"))
+    return t.features.select(F.xxhash64(named).alias("id"), "subject", "y", *FEATURES)
+
+
 @query("grid")
 def grid(t: Hub):
-    rows = stored(t)
-    specs = [models.logistic(), models.gaussian_nb(), forest(10, 4)]
-    out = experiments.grid({"embeddings": (rows, FEATS, ["loso", "kfold"])}, ["standard", "minmax"], specs)
+    """Eight models, two scalings, three pairs of data set and protocol: 48 cells."""
+    specs = [
+        *(SPECS[n] for n in ("random_forest", "logistic", "boosting", "linear_margin", "perceptron")),
+        models.Scorer("lda", lambda r, c, f: closed_form.lda_scores(r, c, f)),
+        models.Scorer("gnb", lambda r, c, f: closed_form.gnb_scores(r, c, f)),
+        models.Scorer("knn", lambda r, c, f: knn.knn_scores(r, c, 5, f).join(r.select("id", F.col(f).cast("string").alias("fold")), "id")),
+    ]
+    sets = {
+        "embeddings": (stored(t), FEATS, ["loso", "kfold"]),
+        "epochs": (materialise(epoch_rows(t), "epoch-rows"), FEATURES, ["kfold"]),
+    }
+    out = experiments.grid(sets, ["standard", "minmax"], specs)
     keys = ["dataset", "scaler", "model", "protocol"]
-    return out.select(*keys, "failure", *[F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "roc_auc")])
+    return out.select(
+        *keys, "failure", "n_scored", "n_rows", "folds_skipped", *[F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "roc_auc")]
+    )
 
 
 @query("hyperparameters")
 def hyperparameters(t: Hub):
-    specs = [forest(n, d, f"rf-{n}-{d}") for n in (5, 15) for d in (3, 6)]
+    """Trees, depth and class weights; the inner folds choose, one subject tests."""
+    specs = [
+        models.random_forest(n, d, name=f"rf-{n}-{d}-{'weighted' if w else 'plain'}", weighted=w)
+        for n in (100, 300)
+        for d in (6, 12, 30)
+        for w in (True, False)
+    ]
     out = experiments.sweep(stored(t), FEATS, specs, "s0", inner=3)
-    return out.select("model", F.round("inner_auc", 6).alias("inner_auc"), "chosen", F.round("test_auc", 6).alias("test_auc"))
+    return out.select(
+        "model", F.round("inner_auc", 6).alias("inner_auc"), "chosen", F.round("test_auc", 6).alias("test_auc"), "folds_skipped"
+    )
 
 
 @query("forest_importance")
@@ -150,16 +204,19 @@ def permutation_importance(t: Hub):
     return out.withColumn("auc_drop", F.round("auc_drop", 6))
 
 
+def kept_table(t: Hub, kept):
+    """(feature, kept) for every column, in a schema that does not follow the data."""
+    return t.spark.createDataFrame([(c, int(c in kept)) for c in FEATS], "feature string, kept int")
+
+
 @query("l1_selection")
 def l1_selection(t: Hub):
-    kept = selection.l1_columns(FEATS)(stored(t))
-    return t.emb.agg(*[F.round(F.avg(c), 6).alias(c) for c in kept])
+    return kept_table(t, selection.l1_columns(FEATS)(stored(t)))
 
 
 @query("recursive_elimination")
 def recursive_elimination(t: Hub):
-    kept = selection.recursive_columns(FEATS, 10, forest(10, 4), step=5)(stored(t))
-    return t.emb.agg(*[F.round(F.avg(c), 6).alias(c) for c in kept])
+    return kept_table(t, selection.recursive_columns(FEATS, 10, forest(), step=1)(stored(t)))
 
 
 @query("pca")
@@ -176,15 +233,30 @@ def kmeans(t: Hub):
 
 @query("validate_subsets")
 def validate_subsets(t: Hub):
-    selectors = {"all": None, "k_best": selection.k_best(10, FEATS), "l1": selection.l1_columns(FEATS)}
+    selectors = {
+        "all": None,
+        "k_best": selection.k_best(10, FEATS),
+        "l1": selection.l1_columns(FEATS),
+        "rfe": selection.recursive_columns(FEATS, 10, forest(30, 5, "rfe"), step=6),
+    }
     out = selection.validate(stored(t), FEATS, models.logistic(), selectors)
     return out.select("subset", F.round("sensitivity", 6).alias("sensitivity"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
 @query("ablation")
 def ablation(t: Hub):
-    groups = {"first5": FEATS[:5], "plus8": FEATS[5:8], "plus10": FEATS[8:10], "all": FEATS[10:]}
-    out = selection.ablation(stored(t), groups, models.logistic())
+    """Groups of the 20 epoch features: bands, Hjorth, line length and RMS, then the spreads over channels."""
+    means = [f for f in FEATURES if f.endswith("_mean")]
+    hjorth = [f for f in means if f.startswith("hjorth")]
+    size = [f for f in means if f.startswith(("line_length", "rms"))]
+    groups = {
+        "bands": [f for f in means if f not in hjorth + size],
+        "plus_hjorth": hjorth,
+        "plus_length_rms": size,
+        "all": [f for f in FEATURES if f.endswith("_std")],
+    }
+    rows = epoch_rows(t).withColumn("fold", F.pmod(F.xxhash64("subject"), F.lit(5)).cast("int"))
+    out = selection.ablation(materialise(rows, "epoch-rows"), groups, models.logistic(), fold="fold")
     return out.select("subset", F.round("sensitivity", 6).alias("sensitivity"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
@@ -197,12 +269,18 @@ def robustness(t: Hub):
 @query("active_learning")
 def active_learning(t: Hub):
     rows = stored(t)
-    kw = {"seed_n": 40, "batch": 50, "rounds": 3}
-    unsure, _ = experiments.active_learning(rows, FEATS, forest(10, 4), "uncertainty", **kw)
-    chance, _ = experiments.active_learning(rows, FEATS, forest(10, 4), "random", **kw)
+    unsure, _ = experiments.active_learning(rows, FEATS, forest(), "uncertainty")
+    chance, _ = experiments.active_learning(rows, FEATS, forest(), "random")
     return unsure.unionByName(chance)
 
 
+@query("active_learning_audit")
+def active_learning_audit(t: Hub):
+    """Every query of every round, from 150 labelled rows in steps of 100."""
+    _, audit = experiments.active_learning(stored(t), FEATS, forest(), "uncertainty")
+    return audit.select("round", "strategy", "queried_index", "human_label")
+
+
 @query("calibration_isotonic")
 def calibration_isotonic(t: Hub):
     rows = stored(t).withColumn("outer_fold", F.substring("subject", 2, 1).cast("int") % 2)

@@ -99,12 +99,15 @@ def bandpass(t: Hub):
 
 @query(
     "resample",
-    with_views("samples")
-    + """SELECT subject, recording, channel, idx // 2 AS idx, round(avg(value), 6) AS value FROM samples
-    GROUP BY subject, recording, channel, idx // 2""",
+    with_views("samples", filtered=_FILTERED)
+    + """SELECT subject, recording, channel, idx // 2 AS idx, round(avg(value), 6) AS value FROM filtered
+    GROUP BY subject, recording, channel, idx // 2 HAVING count(*) = 2""",
 )
 def resample(t: Hub):
-    out = prep.resample(t.samples, KEYS_CH, 2)
+    """After the band-pass, as its purpose asks."""
+    from epochwise.operators import signal
+
+    out = prep.resample(signal.fir(t.samples, KEYS_CH, TAPS, block=64), KEYS_CH, 2)
     return out.select(*KEYS_CH, "idx", F.round("value", 6).alias("value"))
 
 

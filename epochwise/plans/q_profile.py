@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from epochwise.functions.constants import PSI_ALERT, SENSITIVITY_ALERT
 from epochwise.functions.exprs import stack_columns
 from epochwise.operators import drift, evaluate, prep, profile
-from epochwise.plans.hubs import CHANNELS, FEATS, Hub, add_view, with_views
+from epochwise.plans.hubs import CHANNELS, EPOCH_N, FEATS, NPERSEG, RATE, Hub, add_view, with_views
 from epochwise.plans.registry import query
 
 
@@ -274,16 +276,34 @@ def alerts(t: Hub):
     )
 
 
-CONFIG = {"bandpass": "0.5-40", "epoch": "8s", "features": "20D", "model": "RandomForest(300,balanced)"}
-_CONFIG_TEXT = ";".join(f"{k}={CONFIG[k]}" for k in sorted(CONFIG))
-_PART = "CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|' || event_type), {}, 8) AS BIGINT)"
+#: What the content was made with: this engine's own settings.
+CONFIG = {"channels": CHANNELS, "epoch_samples": EPOCH_N, "rate": RATE, "welch_samples": NPERSEG}
+_CONFIG_TEXT = json.dumps(CONFIG, sort_keys=True, separators=(",", ":"))
+_EVENT = {
+    "event_id": "event_id",
+    "ts": "epoch_us(ts)",
+    "user_id": "user_id",
+    "event_type": "event_type",
+    "value": "CAST(round(value * 1000000) AS BIGINT)",
+    "props": "props",
+}
+_TEXT = " || ".join(f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in _EVENT.values())
+_PART = f"CAST('0x' || substr(md5({_TEXT}), {{}}, 8) AS BIGINT)"
 
 
 @query(
     "version_hash",
-    f"""SELECT n, 'rf20d-' || substr(sha256(n || ':' || s0 || ':' || s1 || '{_CONFIG_TEXT}'), 1, 12) AS version FROM (
+    f"""SELECT n, substr(sha256(n || ':' || s0 || ':' || s1 || '{_CONFIG_TEXT}'), 1, 12) AS version FROM (
     SELECT count(*) AS n, CAST(sum({_PART.format(1)}) AS VARCHAR) AS s0, CAST(sum({_PART.format(9)}) AS VARCHAR) AS s1 FROM events)""",
 )
 def version_hash(t: Hub):
-    digest = drift.content_hash(t.table("events"), ["event_id", "event_type"])
+    events = t.table("events").select(
+        "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
+        "user_id",
+        "event_type",
+        F.round(F.col("value") * 1000000).cast("bigint").alias("value"),
+        "props",
+    )
+    digest = drift.content_hash(events, list(_EVENT))
     return digest.select("n", drift.version_id(CONFIG, F.col("content")).alias("version"))

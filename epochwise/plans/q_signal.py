@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epochwise.functions import dsp
-from epochwise.functions.constants import BANDS, CHANNEL_FEATURES, FEATURES, SEGMENT_RATE
+from epochwise.functions.constants import BANDS, CHANNEL_FEATURES, FEATURES, NEGATIVES_PER_POSITIVE, SEGMENT_RATE
 from epochwise.functions.exprs import stack_columns
 from epochwise.operators import prep, profile, signal
 from epochwise.plans.hubs import EPOCH_N, FEATS, NPERSEG, RATE, Hub, add_view, with_views
@@ -47,49 +47,107 @@ def psd_views(prefix: str, base: str, keys: str, length: int, nperseg: int, rate
     )
 
 
-psd_views("psd", "seg", SEG_SQL, EPOCH_N, NPERSEG, RATE)
 psd_views("raw_psd", "raw", "id, cls", RAW_LEN, 128, SEGMENT_RATE)
 
-add_view(
-    "bands",
-    ["psd"],
-    f"SELECT {SEG_SQL}, "
-    + ", ".join(
-        f"sum(CASE WHEN freq >= {lo} AND freq < {hi} THEN psd ELSE 0 END) / (sum(psd) + 1e-12) AS {b}"
-        for b, (lo, hi) in BANDS.items()
+
+def feature_views(p: str, seg: str, eps: str = "1e-12", log_scale: bool = True) -> None:
+    """SQL views from segments to channel and epoch features; their names begin with ``p``."""
+    psd_views(f"{p}psd", seg, SEG_SQL, EPOCH_N, NPERSEG, RATE)
+    add_view(
+        f"{p}bands",
+        [f"{p}psd"],
+        f"SELECT {SEG_SQL}, "
+        + ", ".join(
+            f"sum(CASE WHEN freq >= {lo} AND freq < {hi} THEN psd ELSE 0 END) / (sum(psd) + {eps}) AS {b}"
+            for b, (lo, hi) in BANDS.items()
+        )
+        + f" FROM {p}psd GROUP BY {SEG_SQL}",
     )
-    + f" FROM psd GROUP BY {SEG_SQL}",
-)
+    add_view(
+        f"{p}diffs",
+        [seg],
+        f"""SELECT *, d1 - lag(d1) OVER w AS d2 FROM (SELECT *, x - lag(x) OVER w AS d1 FROM {seg}
+        WINDOW w AS (PARTITION BY {SEG_SQL} ORDER BY i)) WINDOW w AS (PARTITION BY {SEG_SQL} ORDER BY i)""",
+    )
+    v0, v1, v2 = (f"(var_pop({c}) + {eps})" for c in ("x", "d1", "d2"))
+    guard = "0" if log_scale else eps
+    add_view(
+        f"{p}tdom",
+        [f"{p}diffs"],
+        f"""SELECT {SEG_SQL}, {v0} AS activity, sqrt({v1} / {v0}) AS mobility,
+        sqrt({v2} / {v1}) / (sqrt({v1} / {v0}) + {guard}) AS complexity,
+        sum(abs(d1)) AS line_length, sqrt(avg(x * x)) AS rms FROM {p}diffs GROUP BY {SEG_SQL}""",
+    )
+    scaled = (lambda c: f"ln({c} + {eps})") if log_scale else (lambda c: c)
+    add_view(
+        f"{p}chfeat",
+        [f"{p}bands", f"{p}tdom"],
+        f"""SELECT {', '.join('b.' + c for c in SEG)}, delta, theta, alpha, beta, gamma, {scaled('activity')} AS hjorth_activity,
+        mobility AS hjorth_mobility, complexity AS hjorth_complexity, {scaled('line_length')} AS line_length,
+        {scaled('rms')} AS rms FROM {p}bands b JOIN {p}tdom t ON """
+        + " AND ".join(f"b.{c} = t.{c}" for c in SEG),
+    )
+    add_view(
+        f"{p}epfeat",
+        [f"{p}chfeat", "annotations"],
+        "SELECT subject, recording, epoch, "
+        + ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std" for c in CHANNEL_FEATURES)
+        + f""", CAST(coalesce((SELECT max(1) FROM annotations a WHERE a.subject = c.subject AND a.recording = c.recording
+        AND c.epoch BETWEEN a.start_s // {EPOCH_N} AND a.end_s // {EPOCH_N}), 0) AS INT) AS y
+        FROM {p}chfeat c GROUP BY subject, recording, epoch""",
+    )
+
+
+feature_views("", "seg")
+feature_views("plain_", "seg", eps="1e-9", log_scale=False)
+
+# a constant channel, and one that half of the subjects lack
 add_view(
-    "diffs",
-    ["seg"],
-    f"""SELECT *, d1 - lag(d1) OVER w AS d2 FROM (SELECT *, x - lag(x) OVER w AS d1 FROM seg
-    WINDOW w AS (PARTITION BY {SEG_SQL} ORDER BY i)) WINDOW w AS (PARTITION BY {SEG_SQL} ORDER BY i)""",
+    "mixed",
+    ["samples", "numbered"],
+    """SELECT subject, recording, channel, idx, value FROM samples
+    UNION ALL SELECT subject, recording, 'station', idx, CAST(subject AS DOUBLE) FROM numbered
+    UNION ALL SELECT subject, recording, 'second', idx, value * value / 100 FROM numbered WHERE CAST(subject AS BIGINT) % 2 = 0""",
 )
 add_view(
-    "tdom",
-    ["diffs"],
-    f"""SELECT {SEG_SQL}, var_pop(x) + 1e-12 AS activity, sqrt((var_pop(d1) + 1e-12) / (var_pop(x) + 1e-12)) AS mobility,
-    sqrt((var_pop(d2) + 1e-12) / (var_pop(d1) + 1e-12)) / sqrt((var_pop(d1) + 1e-12) / (var_pop(x) + 1e-12)) AS complexity,
-    sum(abs(d1)) AS line_length, sqrt(avg(x * x)) AS rms FROM diffs GROUP BY {SEG_SQL}""",
+    "mixed_live",
+    ["mixed"],
+    """SELECT m.* FROM mixed m JOIN (SELECT subject, recording, channel FROM mixed GROUP BY ALL HAVING stddev_pop(value) > 1e-9) l
+    ON m.subject = l.subject AND m.recording = l.recording AND m.channel = l.channel""",
 )
+add_view("mixed_filtered", ["mixed_live"], _FILTERED.replace("FROM samples", "FROM mixed_live"))
 add_view(
-    "chfeat",
-    ["bands", "tdom"],
-    f"""SELECT {', '.join('b.' + c for c in SEG)}, delta, theta, alpha, beta, gamma, ln(activity + 1e-12) AS hjorth_activity,
-    mobility AS hjorth_mobility, complexity AS hjorth_complexity, ln(line_length + 1e-12) AS line_length,
-    ln(rms + 1e-12) AS rms FROM bands b JOIN tdom t ON """
-    + " AND ".join(f"b.{c} = t.{c}" for c in SEG),
+    "mixed_seg",
+    ["mixed_filtered", "full_epochs"],
+    f"""SELECT s.subject, s.recording, s.idx // {EPOCH_N} AS epoch, channel, s.idx % {EPOCH_N} AS i, value AS x
+    FROM mixed_filtered s JOIN full_epochs f ON s.subject = f.subject AND s.recording = f.recording
+    AND s.idx // {EPOCH_N} = f.epoch""",
 )
-add_view(
-    "epfeat",
-    ["chfeat", "annotations"],
-    "SELECT subject, recording, epoch, "
-    + ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std" for c in CHANNEL_FEATURES)
-    + f""", CAST(coalesce((SELECT max(1) FROM annotations a WHERE a.subject = c.subject AND a.recording = c.recording
-    AND c.epoch BETWEEN a.start_s // {EPOCH_N} AND a.end_s // {EPOCH_N}), 0) AS INT) AS y
-    FROM chfeat c GROUP BY subject, recording, epoch""",
+feature_views("mixed_", "mixed_seg")
+
+
+@query(
+    "raw_to_features",
+    with_views(
+        "mixed_epfeat",
+        pos="SELECT subject, sum(y) AS n FROM mixed_epfeat GROUP BY subject",
+        ranked="""SELECT e.*, row_number() OVER (PARTITION BY e.subject, y ORDER BY md5('42:' || e.subject || '/' || recording || '/' || epoch)) AS rn,
+        p.n FROM mixed_epfeat e JOIN pos p ON p.subject = e.subject""",
+    )
+    + "SELECT subject, recording, epoch, y, "
+    + ", ".join(f"round({c}, 5) AS {c}" for c in FEATURES)
+    + f" FROM ranked WHERE y = 1 OR n = 0 OR rn <= {NEGATIVES_PER_POSITIVE} * n",
 )
+def raw_to_features(t: Hub):
+    """From samples with a dead and a partly absent channel to capped feature rows."""
+    keys = ["subject", "recording"]
+    station = t.numbered.select(*keys, F.lit("station").alias("channel"), "idx", F.col("subject").cast("double").alias("value"))
+    second = t.numbered.filter(F.col("subject").cast("bigint") % 2 == 0).select(
+        *keys, F.lit("second").alias("channel"), "idx", (F.col("value") * F.col("value") / 100).alias("value")
+    )
+    samples = t.samples.select(*station.columns).unionByName(station).unionByName(second)
+    out = signal.raw_to_features(samples, t.annotations, TAPS, EPOCH_N, RATE, NPERSEG, block=64)
+    return out.select("subject", "recording", "epoch", "y", *[F.round(c, 5).alias(c) for c in FEATURES])
 
 
 @query(
@@ -107,24 +165,15 @@ def epoch_features(t: Hub):
 
 @query(
     "epoch_features_raw",
-    with_views("bands", "tdom")
-    + f"""SELECT b.subject, b.recording, b.epoch, round(avg(activity), 5) AS activity_mean,
-    round(stddev_pop(activity), 5) AS activity_std, round(avg(line_length), 5) AS line_length_mean,
-    round(avg(rms), 5) AS rms_mean FROM bands b JOIN tdom t ON {' AND '.join(f'b.{c} = t.{c}' for c in SEG)}
-    GROUP BY b.subject, b.recording, b.epoch""",
+    with_views("plain_epfeat")
+    + "SELECT subject, recording, epoch, "
+    + ", ".join(f"round({c}, 5) AS {c}" for c in FEATURES)
+    + " FROM plain_epfeat",
 )
 def epoch_features_raw(t: Hub):
-    """The second dataset's scaling: activity, line length and RMS are left raw."""
-    out = signal.epoch_features(t.segments, RATE, NPERSEG, log_scale=False, eps=1e-12)
-    return out.select(
-        "subject",
-        "recording",
-        "epoch",
-        F.round("hjorth_activity_mean", 5).alias("activity_mean"),
-        F.round("hjorth_activity_std", 5).alias("activity_std"),
-        F.round("line_length_mean", 5).alias("line_length_mean"),
-        F.round("rms_mean", 5).alias("rms_mean"),
-    )
+    """The second dataset's scaling: activity, line length and RMS are left raw, the guard is 1e-9."""
+    out = signal.epoch_features(t.segments, RATE, NPERSEG, log_scale=False, eps=1e-9)
+    return out.select("subject", "recording", "epoch", *[F.round(c, 5).alias(c) for c in FEATURES])
 
 
 @query("welch_psd", with_views("psd") + f"SELECT {SEG_SQL}, k, round(psd, 5) AS psd FROM psd")

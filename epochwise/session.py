@@ -35,7 +35,8 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see. The cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and remembered.
+    Only a local session that has none (tests, a laptop) gets a temporary folder; elsewhere that would
+    be another folder on each machine, so it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -43,14 +44,31 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext._jsc.isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="epochwise-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def session_dir(spark: SparkSession) -> str:
+    """What this application has written to the shared folder lies below here."""
+    return f"{shared_dir(spark)}/epochwise/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/epochwise/{label}-{uuid.uuid4().hex}"
+    """A new, unused path of this application below the shared folder."""
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_session(spark: SparkSession) -> None:
+    """Remove all stored intermediates of this application; call it when its results are written."""
+    _delete(spark, session_dir(spark))
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -64,4 +82,14 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove superseded tables made by ``materialise``; nothing may read them any more."""
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            _delete(df.sparkSession, path)

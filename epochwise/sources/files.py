@@ -22,11 +22,14 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def discover(files: DataFrame, subject: str = r"^([A-Za-z]+\d+)", duplicate: str = r"\.\d+$") -> DataFrame:
-    """(subject, recording) from paths: parts a, b, c join one subject, re-downloads are skipped."""
+    """(subject, recording, path): parts a, b, c join one subject, re-downloads are skipped.
+
+    Files of one name in different folders are different files; each keeps its path.
+    """
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    named = files.select(name.alias("recording")).filter(~F.col("recording").rlike(duplicate))
+    named = files.select(name.alias("recording"), "path").filter(~F.col("recording").rlike(duplicate))
     found = named.withColumn("subject", F.regexp_extract("recording", subject, 1)).filter("subject <> ''")
-    return found.dropDuplicates(["recording"]).select("subject", "recording")
+    return found.dropDuplicates(["path"]).select("subject", "recording", "path")
 
 
 def write_cache(features: DataFrame, path: str, id_col: str = "epoch", files_per_subject: int = 8) -> None:
@@ -77,10 +80,12 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType, default: DataFrame | None = None) -> DataFrame:
-    """Stored results, or the default (else no rows) when there are none."""
+    """Stored results, or the default (else no rows) when nothing is stored there; other failures are raised."""
     try:
         return spark.read.schema(schema).json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return default if default is not None else spark.createDataFrame([], schema)
 
 

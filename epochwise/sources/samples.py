@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epochwise.operators.attach import attach
+
 SAMPLES = T.StructType(
     [
         T.StructField("subject", T.StringType()),
@@ -39,6 +42,87 @@ def from_path(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
+def _paths(paths: str | list[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
+def damaged_parquet(spark: SparkSession, paths: str | list[str], schema: T.StructType = SAMPLES) -> DataFrame:
+    """(path, reason, lost): files that give fewer rows than their footers promise, or have no footer.
+
+    Rows are counted twice: from the footers alone, and by reading every value. Reading
+    skips what is damaged, so the difference is what would be lost without a word.
+    """
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", True)
+    raw = reader.parquet(*_paths(paths))
+    path = F.col("_metadata.file_path").alias("path")
+    promised = raw.select(path).groupBy("path").agg(F.count(F.lit(1)).alias("promised"))
+    # the hash needs every column, so every page is read
+    whole = raw.select(path, F.xxhash64(*schema.fieldNames()).alias("h"))
+    got = whole.groupBy("path").agg(F.count(F.lit(1)).alias("got"), F.bit_xor("h").alias("h")).filter("h IS NOT NULL").drop("h")
+    short = promised.join(got, "path", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < promised")
+    unread = _listed(spark, paths).join(promised, "path", "left_anti")
+    return short.select("path", F.lit("rows missing").alias("reason"), (F.col("promised") - F.col("got")).alias("lost")).unionByName(
+        unread.select("path", F.lit("no rows").alias("reason"), F.lit(None).cast("bigint").alias("lost"))
+    )
+
+
+def damaged_csv(spark: SparkSession, paths: str | list[str], header: Sequence[str]) -> DataFrame:
+    """(path, reason, lost): compressed files that end early, and files with lines of another form.
+
+    ``lost`` counts the malformed lines of a file. A compressed file is unpacked in pieces to its end.
+    """
+    import zlib
+
+    schema = wide_schema(header).add(T.StructField("_bad", T.StringType()))
+    rows = (
+        spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("ignoreCorruptFiles", True)
+        .option("columnNameOfCorruptRecord", "_bad").csv(_paths(paths))
+    )
+    lines = rows.select("*", F.col("_metadata.file_path").alias("path")).filter(F.col("_bad").isNotNull())
+    # Spark wants more than the malformed text alone to be read
+    every = F.max(F.xxhash64(*schema.fieldNames()[:-1])).alias("h")
+    bad = lines.groupBy("path").agg(F.count("_bad").alias("lost"), every).filter("h IS NOT NULL")
+    bad = bad.select("path", F.lit("malformed lines").alias("reason"), "lost")
+
+    def cut(batches):
+        for b in batches:
+            paths = []
+            for path, content in zip(b["path"], b["content"]):
+                unpack, ok, at = zlib.decompressobj(31), True, 0
+                try:
+                    while at < len(content) and not unpack.eof:
+                        unpack.decompress(content[at : at + 65536])
+                        at += 65536
+                    ok = unpack.eof
+                except zlib.error:
+                    ok = False
+                if not ok:
+                    paths.append(path)
+            yield pd.DataFrame({"path": pd.Series(paths, dtype=object)})
+
+    packed = _listed(spark, paths, content=True).filter(F.col("path").endswith(".gz"))
+    ends = packed.mapInPandas(cut, "path string").select(
+        "path", F.lit("cut short").alias("reason"), F.lit(None).cast("bigint").alias("lost")
+    )
+    return ends.unionByName(bad.join(ends.select("path"), "path", "left_anti"))
+
+
+def _listed(spark: SparkSession, paths: str | list[str], content: bool = False) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_paths(paths))
+    return files.select("path", *(["content"] if content else []))
+
+
+def _same_path(path: Column) -> Column:
+    """One spelling of a local path, with which both readers agree."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def leave_out(rows: DataFrame, damaged: DataFrame, path: str = "_path") -> DataFrame:
+    """``rows`` (with their file in ``path``) without all rows of damaged files."""
+    bad = damaged.select(_same_path(F.col("path")).alias(path)).distinct()
+    return attach(rows.withColumn(path, _same_path(F.col(path))), bad, [path], "left_anti")
+
+
 def read_wide_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -48,39 +132,30 @@ def read_wide_csv(
     recording: str = r"([^/]+)\.[^./]*$",
     time_col: str = "time_s",
 ) -> DataFrame:
-    """Wide sample CSVs to the long schema. Unreadable files are skipped; see ``unread``."""
+    """Wide sample CSVs to the long schema. Files in ``damaged_csv`` are left out as a whole."""
     schema = wide_schema(header)
     wide = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
         .option("ignoreCorruptFiles", True)
-        .csv(paths)
-        .select("*", from_path(subject).alias("subject"), from_path(recording).alias("recording"))
+        .csv(_paths(paths))
+        .select(
+            "*", from_path(subject).alias("subject"), from_path(recording).alias("recording"), F.col("_metadata.file_path").alias("_path")
+        )
         .withColumn("idx", F.round(F.col(time_col) * F.lit(float(rate))).cast("bigint"))
-        .filter(F.col(time_col).isNotNull())
     )
+    wide = leave_out(wide, damaged_csv(spark, paths, header))
     channels = [c for c in schema.fieldNames() if c != time_col]
     long = wide.unpivot(["subject", "recording", "idx"], channels, "channel", "value")
     return long.select(*SAMPLES.fieldNames())
 
 
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.schema(SAMPLES).option("ignoreCorruptFiles", True).parquet(
-        *([paths] if isinstance(paths, str) else paths)
-    )
-
-
-def unread(spark: SparkSession, folder: str, samples: DataFrame, glob: str = "*") -> DataFrame:
-    """Files below ``folder`` that gave no sample: the report of what was skipped."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("recording"), "path")
-    )
-    return listed.join(samples.select("recording").distinct(), "recording", "left_anti")
+    """Long samples. Files in ``damaged_parquet`` are left out as a whole."""
+    raw = spark.read.schema(SAMPLES).option("ignoreCorruptFiles", True).parquet(*_paths(paths))
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_path"))
+    return leave_out(rows, damaged_parquet(spark, paths)).select(*SAMPLES.fieldNames())
 
 
 def read_segment_csv(spark: SparkSession, path: str, width: int, positive: int = 1) -> DataFrame:

@@ -109,7 +109,8 @@ def test_noise_repeats(rows):
 def test_active_learning_grows_by_one_batch(rows):
     hist, log = experiments.active_learning(rows, COLS, models.random_forest(5, 3), seed_n=20, batch=15, rounds=3)
     assert [r.n_labelled for r in hist.orderBy("round").collect()] == [20, 35, 50]
-    assert log.count() == 15
+    assert log.count() == 45  # every query of every round
+    assert log.groupBy("round").count().filter("count <> 15").count() == 0
 
 
 def test_failed_cells_are_reported(rows):
@@ -117,3 +118,19 @@ def test_failed_cells_are_reported(rows):
     got = experiments.grid({"d": (rows, COLS, ["loso"])}, ["standard"], [models.logistic(), broken])
     state = {r.model: r.failure for r in got.collect()}
     assert state["logistic"] is None and state["broken"]
+    done = got.filter("failure IS NULL").first()
+    assert (done.n_scored, done.n_rows, done.folds_skipped) == (240, 240, 0)
+
+
+def test_skipped_folds_are_counted(rows):
+    """All positives in one subject: without it there is one class, so its fold can't be fitted."""
+    one = materialise(rows.withColumn("y", F.when(F.col("subject") == "big", F.col("y")).otherwise(0)), "one")
+    got = experiments.grid({"d": (one, COLS, ["loso"])}, ["standard"], [models.logistic()]).first()
+    assert (got.n_scored, got.n_rows, got.folds_skipped) == (120, 240, 1)
+
+
+def test_closed_forms_take_any_number_of_folds(rows):
+    many = rows.withColumn("fold", F.col("id"))
+    for scores in (closed_form.lda_scores, closed_form.gnb_scores):
+        got = scores(many, COLS, fold="fold")
+        assert got.count() == 240 and auc(got) > 0.95

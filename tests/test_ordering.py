@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epochwise.operators import ordering
+from epochwise.operators import compare, drift, evaluate, folds, ordering, prep, profile
+from epochwise.operators.attach import attach
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,72 @@ def test_no_task_holds_a_whole_key(skewed):
     got = ordering.exact_rank(skewed, ["key"], [F.col("ts"), F.col("id")], F.floor(F.col("ts") / 10))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(key" in plan and "_bucket" in plan.split("row_number() windowspecdefinition(")[1][:60]
+
+
+@pytest.mark.parametrize("most", [100, 0])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_attach_equals_join(skewed, most, how):
+    table = skewed.groupBy("key").agg(F.max("value").alias("top")).filter("key <> 'k3'")
+    got, want = attach(skewed, table, ["key"], how, most=most), skewed.join(table, "key", how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_few_wide_keys_never_partition_the_rows(spark, skewed):
+    """No sort-merge join on feature, subject or channel, even where statistics say nothing fits."""
+    rows = skewed.select("id", F.col("key").alias("subject"), (F.col("id") % 2).cast("int").alias("y"), "value", F.col("ts").cast("double").alias("ts"))
+    name = F.concat(F.lit("f"), F.col("id") % 3)
+    long = rows.select("y", name.alias("feature"), "value")
+    both = rows.withColumn("win", F.when(F.col("id") < 2000, "ref").otherwise("cur")).withColumn("feature", name)
+    samples = rows.select("subject", F.concat(F.lit("r"), F.col("id") % 2).alias("recording"), name.alias("channel"), "value")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        plans = {
+            "histogram": profile.histogram(long, 5),
+            "mutual_info": profile.mutual_info_binned(rows, ["value", "ts"]),
+            "psi_counts": drift.psi_counts(both, drift.psi_edges(both, ["feature"]), ["feature"]),
+            "windows": drift.split_windows(rows),
+            "logo": folds.leave_one_group_out(rows),
+            "scale": folds.scale_held_out(rows, "subject", ["value", "ts"]),
+            "dead": prep.drop_dead_channels(samples),
+            "usable": prep.with_positives(rows),
+            "zscore": prep.tensor_zscore(rows, "value", keys=["subject"]),
+        }
+        for name, df in plans.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, name
+            assert "BroadcastHashJoin" in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crowded_scores(spark):
+    """Nine of ten scores below 1e-4: the area is exact and no bucket holds more than a few per cent."""
+    rng = np.random.RandomState(8)
+    n = 6000
+    p = np.where(rng.rand(n) < 0.9, rng.rand(n) * 1e-4, rng.rand(n))
+    y = (rng.rand(n) < 0.2 + 0.5 * (p > 0.5)).astype(int)
+    scored = spark.createDataFrame(pd.DataFrame({"model": "m", "protocol": "q", "subject": "s", "y": y, "p": p})).withColumn("y", F.col("y").cast("int"))
+    order = np.argsort(p)
+    rank = np.empty(n)
+    rank[order] = np.arange(1, n + 1)
+    want = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (n - y.sum()))
+    assert evaluate.roc_auc(scored).first().auc == pytest.approx(want, rel=1e-9)
+    sizes = ordering.with_level(scored, "p", "b").groupBy("b").count().agg(F.max("count")).first()[0]
+    assert sizes < n / 100
+
+
+def test_buckets_of_names_with_one_stem(spark):
+    names = spark.range(5000).select(F.format_string("subject-%05d", "id").alias("s"), "id")
+    sized = names.withColumn("b", ordering.sketch_bucket(names, "s"))
+    assert sized.groupBy("b").count().agg(F.max("count")).first()[0] < 200
+    got = ordering.exact_rank(names, [], [F.col("s")], ordering.sketch_bucket(names, "s"))
+    assert got.filter("rn <> id + 1").count() == 0
+
+
+def test_signed_rank_methods(spark):
+    d = spark.createDataFrame([("a", float(v)) for v in range(1, 9)] + [("b", 1.0), ("b", 1.0), ("b", -2.0)], "k string, d double")
+    got = {r.k: r for r in compare.wilcoxon(d, ["k"]).collect()}
+    assert (got["a"].p_method, got["b"].p_method) == ("exact", "normal")
+    exact = {r.k: r for r in compare.wilcoxon(d, ["k"], method="exact").collect()}
+    assert exact["a"].p == pytest.approx(2 / 2**8) and exact["b"].p is None
+    assert compare.wilcoxon(d, ["k"], method="normal").filter("p_method <> 'normal'").count() == 0

@@ -1,9 +1,13 @@
 """File readers and writers."""
 
+import gzip
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from epochwise.operators import profile
@@ -22,15 +26,54 @@ def test_wide_csv_with_a_repeated_header_and_a_bad_file(spark, tmp_path):
     assert got.count() == 24
     row = got.filter("recording = 'p01_2' AND idx = 3 AND channel = 'A-B_2'").first()
     assert (row.subject, row.value) == ("p01", 23.0)
-    skipped = samples.unread(spark, str(tmp_path), got, "*.csv").collect()
-    assert [r.recording for r in skipped] == ["p02_1"]
+    bad = samples.damaged_csv(spark, str(tmp_path), header.split(",")).collect()
+    assert [(os.path.basename(r.path), r.reason) for r in bad] == [("p02_1.csv", "malformed lines")]
 
 
-def test_corrupt_parquet_is_skipped(spark, tmp_path):
+def test_cut_gzip_is_left_out_whole(spark, tmp_path):
+    header = "time_s,A"
+    text = "\n".join([header] + [f"{i / 4},{i * 7919 % 1000}" for i in range(20_000)])
+    packed = gzip.compress(text.encode())
+    (tmp_path / "p01_1.csv.gz").write_bytes(packed)
+    (tmp_path / "p02_1.csv.gz").write_bytes(packed[: len(packed) // 2])
+    bad = samples.damaged_csv(spark, str(tmp_path), header.split(",")).collect()
+    assert [(os.path.basename(r.path), r.reason) for r in bad] == [("p02_1.csv.gz", "cut short")]
+    got = samples.read_wide_csv(spark, str(tmp_path), header.split(","), 4.0, recording=r"([^/.]+)\.[^/]*$")
+    assert {r.recording: r["count"] for r in got.groupBy("recording").count().collect()} == {"p01_1": 20_000}
+
+
+def test_damaged_parquet_is_left_out_whole(spark, tmp_path):
     good = spark.createDataFrame([("s", "r", "c", 0, 1.0)], samples.SAMPLES)
     good.coalesce(1).write.parquet(str(tmp_path / "d"))
     (tmp_path / "d" / "bad.parquet").write_bytes(b"not parquet at all")
+    n = 40_000
+    table = pa.table({"subject": ["s"] * n, "recording": ["half"] * n, "channel": ["c"] * n, "idx": range(n), "value": [float(i * 37 % 1009) for i in range(n)]})
+    half = tmp_path / "d" / "half.parquet"
+    pq.write_table(table, half, row_group_size=5000, compression="snappy", use_dictionary=False)
+    meta = pq.ParquetFile(half).metadata
+    at = meta.row_group(5).column(4).data_page_offset  # a page of a later row group; the footer stays whole
+    raw = bytearray(half.read_bytes())
+    raw[at : at + 400] = b"\xff" * 400
+    half.write_bytes(bytes(raw))
     assert samples.read_parquet(spark, str(tmp_path / "d")).count() == 1
+    bad = {os.path.basename(r.path): (r.reason, r.lost) for r in samples.damaged_parquet(spark, str(tmp_path / "d")).collect()}
+    assert bad["bad.parquet"] == ("no rows", None)
+    assert bad["half.parquet"][0] == "rows missing" and 0 < bad["half.parquet"][1] <= n
+
+
+def test_same_names_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "abc01_01.edf").write_text("x")
+    found = files.discover(files.list_files(spark, str(tmp_path), "*.edf"))
+    assert found.count() == 2 and found.select("path").distinct().count() == 2
+
+
+def test_only_a_missing_path_means_no_results(spark, tmp_path):
+    schema = spark.createDataFrame([], "a long").schema
+    assert files.read_results(spark, str(tmp_path / "none"), schema).count() == 0
+    with pytest.raises(AnalysisException):
+        files.read_results(spark, "nosuchscheme" + "://x", "a notatype")
 
 
 def test_segment_csv(spark, tmp_path):
