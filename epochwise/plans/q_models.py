@@ -216,7 +216,7 @@ def l1_selection(t: Hub):
 
 @query("recursive_elimination")
 def recursive_elimination(t: Hub):
-    return kept_table(t, selection.recursive_columns(FEATS, 10, forest(), step=1)(stored(t)))
+    return kept_table(t, selection.recursive_columns(FEATS, 10, forest(), step=6)(stored(t)))
 
 
 @query("pca")
@@ -266,19 +266,26 @@ def robustness(t: Hub):
     return out.select("variant", *[F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "roc_auc")])
 
 
+_active: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def active(t: Hub, strategy: str) -> tuple[DataFrame, DataFrame]:
+    """(history, audit) of a run at the published settings, once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.dir, strategy)
+    if key not in _active:
+        _active[key] = experiments.active_learning(stored(t), FEATS, forest(), strategy)
+    return _active[key]
+
+
 @query("active_learning")
 def active_learning(t: Hub):
-    rows = stored(t)
-    unsure, _ = experiments.active_learning(rows, FEATS, forest(), "uncertainty")
-    chance, _ = experiments.active_learning(rows, FEATS, forest(), "random")
-    return unsure.unionByName(chance)
+    return active(t, "uncertainty")[0].unionByName(active(t, "random")[0])
 
 
 @query("active_learning_audit")
 def active_learning_audit(t: Hub):
     """Every query of every round, from 150 labelled rows in steps of 100."""
-    _, audit = experiments.active_learning(stored(t), FEATS, forest(), "uncertainty")
-    return audit.select("round", "strategy", "queried_index", "human_label")
+    return active(t, "uncertainty")[1].select("round", "strategy", "queried_index", "human_label")
 
 
 @query("calibration_isotonic")
