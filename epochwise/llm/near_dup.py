@@ -5,12 +5,13 @@
    XOR of two sketches estimates how many samples differ, most precisely at high similarity.
 2. Documents with equal sets form a class; only one document of a class goes on.
 3. Two classes that share a band are candidates. First each member of a bucket is compared with the
-   bucket's smallest member. A candidate whose sketches differ too much is dropped, the others are
-   confirmed by intersecting the full sets. Links give components.
-4. Then members of one bucket that lie in different components are compared, never those that are
-   connected already, so that a group of a million near copies costs a million comparisons.
-   Of each pair of components the most similar untested pairs are confirmed, more in each round,
-   until no untested pair is left. So no link between different texts of a bucket is lost.
+   bucket's lead, the member that shares most buckets with others, which among near copies is
+   the text they were made from. A candidate whose sketches differ too much is dropped, the others
+   are confirmed by intersecting the full sets. Links give components.
+4. Buckets with members of different components go on: the next 7 members lead, then the next 56, and
+   so on, each against the members of other components, until a bucket is in one component or
+   all its members have led. So no link between different texts of a bucket is lost, and a group
+   of a million near copies of one text costs a million comparisons.
 
 With 32 bands of 4 rows a pair at the limit of 0.8 shares no band with a chance of 5e-8; the sketch
 limit lies more than five standard deviations below it.
@@ -251,9 +252,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     members = classes.select("id", F.posexplode("bands").alias("band", "key")).select(
         "id", F.xxhash64("band", "key").alias("bucket")
     )
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
-    bucketed = materialise(members.join(shared.select("bucket", "lead"), "bucket"), "buckets")
-    wanted = classes.select("id", "name").join(bucketed.select("id").distinct(), "id", "left_semi")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    bucketed = materialise(members.join(shared, "bucket"), "buckets")
+    degree = bucketed.groupBy("id").agg(F.sum("size").alias("degree"))
+    bucketed = materialise(bucketed.join(degree, "id").select("bucket", "id", "size", "degree"), "buckets")
+    wanted = classes.select("id", "name").join(degree.select("id"), "id", "left_semi")
     sets = materialise(full_sets(docs, doc_id, text, n, wanted), "sets")
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -261,20 +264,21 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         both = with_a.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
         return both.filter(_differing(F.col("sa"), F.col("sb")) <= xor_limit()).select("a", "b")
 
-    stars = bucketed.filter("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    tested = materialise(close(stars), "tested")
+    leads = bucketed.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("lead"))
+    stars = bucketed.join(leads, "bucket").filter("id <> lead")
+    tested = materialise(close(stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()), "tested")
     found = materialise(components(materialise(confirm(tested, sets, percent), "links")), "components")
-    mixed, most = bucketed.select("bucket", "id"), 32
+    mixed, done = bucketed, 1
     while True:
-        mixed = materialise(_mixed(mixed.select("bucket", "id"), found, sketch), "mixed")
-        pairs = materialise(_open_pairs(mixed, tested, most), "tested")
-        if pairs.isEmpty():
+        mixed = materialise(_mixed(mixed, found, done), "mixed")
+        if mixed.isEmpty():
             break
+        pairs = materialise(_open_pairs(mixed, sketch, tested, done, 8 * done), "tested")
         links = materialise(confirm(pairs, sets, percent), "links")
         tested = tested.unionByName(pairs.select("a", "b"))
         if not links.isEmpty():
             found = materialise(_merged(found, pairs.join(links, ["a", "b"], "left_semi")), "components")
-        most *= 32
+        done *= 8
 
     class_of = classes.select("name", "id").join(found, "id", "left").select(
         "name", F.coalesce("comp", "id").alias("_comp")
@@ -299,40 +303,34 @@ def _merged(found: DataFrame, linked: DataFrame) -> DataFrame:
     return found.unionByName(alone).join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp"))
 
 
-def _mixed(bucketed: DataFrame, found: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(bucket, id, comp, major, sketch) of the buckets whose members are in several components.
+def _mixed(bucketed: DataFrame, found: DataFrame, done: int) -> DataFrame:
+    """(bucket, id, size, degree, comp) of the buckets that are not settled.
 
-    ``major`` is the component with most members. A bucket in one component stays so, and is
-    never looked at again.
+    A bucket is settled when its members are in one component, or when all of them have been
+    leads. It stays so, and is never looked at again.
     """
-    placed = bucketed.join(found, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    several = sizes.groupBy("bucket").agg(
-        F.max_by("comp", "c").alias("major"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    several = several.filter("lo < hi").select("bucket", "major")
-    return placed.join(several, "bucket").join(sketch, "id").select("bucket", "id", "comp", "major", "sketch")
+    placed = bucketed.select("bucket", "id", "size", "degree").filter(F.col("size") > done).join(found, "id", "left")
+    placed = placed.withColumn("comp", F.coalesce("comp", "id"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return placed.join(several.select("bucket"), "bucket").select("bucket", "id", "size", "degree", "comp")
 
 
-def _open_pairs(mixed: DataFrame, tested: DataFrame, most: int) -> DataFrame:
-    """(a, b, ca, cb): untested pairs of one bucket in different components whose sketches allow a link.
+def _open_pairs(mixed: DataFrame, sketch: DataFrame, tested: DataFrame, done: int, most: int) -> DataFrame:
+    """(a, b, ca, cb): untested pairs of a lead and a bucket mate in another component, if their sketches allow a link.
 
-    Of each pair of components the ``most`` most similar ones. In a bucket, what is not of its
-    most frequent component is compared with all; so the frequent one is never compared with itself.
+    Leads are the members numbered from ``done + 1`` to ``most`` by degree; the first ones
+    have been compared already.
     """
-    rare = mixed.filter("comp != major").select(
-        "bucket", F.col("id").alias("r"), F.col("comp").alias("rc"), F.col("sketch").alias("rs")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("id")))
+    leads = mixed.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("rank") > done))
+    leads = leads.select("bucket", F.col("id").alias("lead"), F.col("comp").alias("lc"))
+    pairs = leads.join(mixed, "bucket").filter(F.col("lc") != F.col("comp")).select(
+        F.least("lead", "id").alias("a"),
+        F.greatest("lead", "id").alias("b"),
+        F.least("lc", "comp").alias("ca"),
+        F.greatest("lc", "comp").alias("cb"),
     )
-    differ = _differing(F.col("rs"), F.col("sketch"))
-    once = (F.col("comp") == F.col("major")) | (F.col("r") < F.col("id"))
-    pairs = rare.join(mixed, "bucket").filter((F.col("rc") != F.col("comp")) & once & (differ <= xor_limit()))
-    pairs = pairs.select(
-        F.least("r", "id").alias("a"),
-        F.greatest("r", "id").alias("b"),
-        F.least("rc", "comp").alias("ca"),
-        F.greatest("rc", "comp").alias("cb"),
-        differ.alias("x"),
-    ).distinct()
-    fresh = pairs.join(tested, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("x", "a", "b"))
-    return fresh.withColumn("rank", rank).filter(F.col("rank") <= most).select("a", "b", "ca", "cb")
+    fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    with_a = fresh.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = with_a.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.filter(_differing(F.col("sa"), F.col("sb")) <= xor_limit()).select("a", "b", "ca", "cb")

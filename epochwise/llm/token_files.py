@@ -20,6 +20,7 @@ their texts. Null and empty texts hold the end id alone. Empty tables give no sh
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,10 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from epochwise.llm.byte_bpe import byte_alphabet
 from epochwise.session import materialise
 
 KEYS_PER_BUCKET = 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: Letters of one piece whatever stands beside them, and what may follow them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("number", "<u8"), ("count", "<u4")])
 
 
@@ -168,17 +172,41 @@ class WordEncoder:
     """Packed ids of whole texts from a tokenizer whose tokens never cross white space.
 
     Such a tokenizer gives the same ids for a text and for its words one by one, so words that are
-    cut at plain spaces and line feeds are encoded by the library once and cached.
+    cut at plain spaces and line feeds are encoded by the library once and cached. Where it also
+    lower-cases and cuts Latin letters from punctuation, which is tried once, the library's model is
+    asked for the lower-case letters alone, which many words share.
     """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = _Words(
-            lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, kind).tobytes()
-        )
+        self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.alphabet = byte_alphabet()
+        self.stems, self.marks, self.words = _Words(self._model), _Words(self._library), _Words(self._word)
+        self.plain = self._cuts_letters()
+
+    def _cuts_letters(self) -> bool:
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or cut is None:
+            return False
+        pieces = [p for p, _ in cut.pre_tokenize_str(normal.normalize_str("\u00c9Tabc,.!"))]
+        return pieces == [self._mapped("\u00e9tabc"), ",.!"]
+
+    def _mapped(self, word: str) -> str:
+        return word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+
+    def _model(self, stem: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(self._mapped(stem))], self.kind).tobytes()
+
+    def _library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word) if self.plain else None
+        if not plain:
+            return self._library(word)
+        return self.stems[plain[1].lower()] + self.marks[plain[2]]
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")))

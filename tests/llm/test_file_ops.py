@@ -96,7 +96,10 @@ def test_words_like_whole_texts():
     rng = random.Random(4)
     alphabet = "ab eé́漢🙂 \n\t\r  '’sdtΣς0129.,!_-\x1c\x85İ<|endoftext|>"
     texts = ["", " ", "x" * 3000, *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000))]
+    words = ["Straße", "ÉTÉ!?", "İx", "ıI", "ǅ", "ÿ.,", "don't", "a'b", "×3", "e\u0301", "ﬁ", "A`b", "x-y", "Ĳ", "ŉ", "ſ", "ABC.", "end..."]
+    texts += words + [" ".join(rng.choice(words) for _ in range(6)) for _ in range(500)]
     encoder = token_files.WordEncoder(PATH, "<u2")
+    assert encoder.plain
     for t, ids in zip(texts, library(texts)):
         assert np.frombuffer(encoder.encode(t), "<u2").tolist() == ids, repr(t[:80])
 
