@@ -98,7 +98,7 @@ def test_odd_sketch_estimates_high_similarity():
         bits = near_dup.SKETCH_WORDS * 64
         estimate = 1 + bits / (4 * near_dup.SAMPLES) * np.log(1 - 2 * differ / bits)
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(estimate - true) < 0.15
+        assert abs(estimate - true) < 0.08
 
 
 def test_odd_rows(spark):
