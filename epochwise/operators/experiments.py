@@ -70,8 +70,8 @@ def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: S
         return bad
     scored = reduce(DataFrame.unionByName, parts)
     covered = ", ".join(f"{k} string" for k in keys) + ", n_scored long, n_rows long, folds_skipped int"
-    # one row per cell
-    result = evaluate.pooled_vs_macro(scored, keys).join(F.broadcast(spark.createDataFrame(coverage, covered)), keys)
+    # a cell whose scored rows are of one class has no metrics, but it has its row
+    result = spark.createDataFrame(coverage, covered).join(evaluate.pooled_vs_macro(scored, keys), keys, "left")
     return result.withColumn("failure", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
