@@ -5,7 +5,8 @@ placeholders. Every window of ``WINDOW`` words is hashed twice: as literal lower
 it has a placeholder and at least ``CONTENT`` other words, as a template. Windows of documents
 are hash-joined with those of the benchmark. For template windows the values in the slots must
 map consistently: one item value to one document value along a diagonal (document position minus item
-position). An item is leaked into a document when at least ``COVERAGE`` of its windows are found.
+position). An item is leaked into a document when at least ``COVERAGE`` of its windows are found, or when
+windows that follow one another on a diagonal span ``RUN_WORDS`` words, however long the item is.
 
 A text shorter than a window has one window, its whole sequence; it matches only another such text.
 
@@ -24,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from epochwise.session import materialise
 
 WINDOW = 5
 CONTENT = 3
 COVERAGE = 0.5
+#: Words in a row that are a leak whatever share of the item they are.
+RUN_WORDS = 13
 #: Share of an item's slot values on a diagonal that must have a single counterpart.
 CONSISTENT = 0.75
 #: Most distinct benchmark windows that are broadcast (16 MB); more are joined by a shuffle.
@@ -210,7 +214,9 @@ def matches(
 ) -> DataFrame:
     """(doc_id, item_id, coverage, exact) for every leaked pair of a document and an item.
 
-    ``exact``: the literal windows alone reach the limit, else slots were filled anew.
+    ``coverage``: share of the item's windows that were found; below ``COVERAGE`` where a run of
+    ``RUN_WORDS`` words makes the leak. ``exact``: the literal windows alone reach a limit, else slots
+    were filled anew.
     """
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("_t")).agg(
@@ -249,7 +255,10 @@ def matches(
         F.count(F.when(F.col("kind") == 0, 1)).alias("literal"),
         F.max("item_total").alias("total"),
     )
-    per_pair = per_pair.filter(F.col("n") >= COVERAGE * F.col("total"))
+    runs = _longest(good, "run").join(_longest(good.filter("kind = 0"), "literal_run"), ["doc", "item"], "left")
+    per_pair = per_pair.join(runs, ["doc", "item"])
+    enough = lambda n, run: (F.col(n) >= COVERAGE * F.col("total")) | (F.col(run) >= RUN_WORDS)
+    per_pair = per_pair.filter(enough("n", "run"))
     # equal items were looked for once; each of them is reported
     same = benchmark.filter(F.col(item_text).isNotNull()).select(
         F.col(item_id).alias("item_id"), F.col(item_text).alias("_t")
@@ -259,10 +268,20 @@ def matches(
         F.col("doc").alias("doc_id"),
         "item_id",
         (F.col("n") / F.col("total")).alias("coverage"),
-        (F.col("literal") >= COVERAGE * F.col("total")).alias("exact"),
+        F.coalesce(enough("literal", "literal_run"), F.lit(False)).alias("exact"),
     )
 
 
+def _longest(good: DataFrame, name: str) -> DataFrame:
+    """(doc, item, ``name``): most words under windows that follow one another on one diagonal."""
+    pair = ["doc", "item", "shift"]
+    at = good.select(*pair, "item_at").distinct()
+    # in a run, the position minus the row's number stays the same
+    island = F.col("item_at") - F.row_number().over(Window.partitionBy(*pair).orderBy("item_at"))
+    runs = at.withColumn("_island", island).groupBy(*pair, "_island").agg((F.count("*") + WINDOW - 1).alias("_words"))
+    return runs.groupBy("doc", "item").agg(F.max("_words").alias(name))
+
+
 def contaminated(found: DataFrame) -> DataFrame:
     """One row per document with a leak, with the items it holds."""
     return found.groupBy("doc_id").agg(

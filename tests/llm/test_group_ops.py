@@ -162,6 +162,26 @@ def test_leaks(spark):
     assert leaks(spark, rows) == {(10, 1), (11, 1), (12, 1), (15, 2), (17, 3), (21, 3), (22, 5)}
 
 
+def test_leaks_of_a_part(spark):
+    """Quotes of less than half of a long item: a run of 13 words is a leak, one of 12 isn't."""
+    words = [f"word{i}" for i in range(200)]
+    items = [(1, " ".join(words)), (2, " ".join(f"other{i}" for i in range(59)))]
+    quote = lambda a, n: FILL + " ".join(words[a : a + n]) + FILL
+    rows = [
+        (30, quote(0, 13)),
+        (31, quote(50, 99)),
+        (32, quote(187, 13)),
+        (33, quote(90, 12)),
+        (34, quote(20, 12) + quote(60, 12)),
+        (35, FILL + " ".join(f"other{i}" for i in range(20, 47)) + FILL),
+        (36, FILL + " ".join(words[100 + i] if i != 6 else "changed" for i in range(13)) + FILL),
+    ]
+    assert leaks(spark, rows, items) == {(30, 1), (31, 1), (32, 1), (35, 2)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.matches(documents(spark, rows), bench).collect()}
+    assert found[35]["exact"] and abs(found[35]["coverage"] - 23 / 55) < 1e-9
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert leaks(spark, [(1, FILL + ITEMS[2][1]), (2, FILL)]) == {(1, 3)}
