@@ -1,13 +1,17 @@
 """Benchmark decontamination by template windows and slot consistency.
 
-Words are canonicalised: numbers, units and names (capitalised words inside a sentence) become typed
-placeholders. Every window of ``WINDOW`` words is hashed twice: as literal lower-case words, and, if
-it has a placeholder and at least ``CONTENT`` other words, as a template. Windows of documents
+Words are canonicalised: numbers, units and names (capitalised words) become typed placeholders. Every
+window of ``WINDOW`` words is hashed as literal lower-case words, and, if it has a placeholder, as a
+template. A capital that opens a sentence may be a name or not, so a window with one is a template
+twice, with that word as it is and as a name. A template holds at least ``CONTENT`` other words; a window
+with fewer is widened to the right, and to the left, until it does. There an operator between two
+numbers counts as a word, and one real word is needed. Windows of documents
 are hash-joined with those of the benchmark. For template windows the values in the slots must
 map consistently: one item value to one document value along a diagonal (document position minus item
 position). An item is leaked into a document when at least ``COVERAGE`` of its windows are found, or when
 windows that follow one another on a diagonal span ``RUN_WORDS`` words, however long the item is.
 
+An item without ``CONTENT`` such words in all has no template: it is only found as it stands.
 A text shorter than a window has one window, its whole sequence; it matches only another such text.
 
 Nulls: null texts and ids take no part. Repeated rows of a document count once; equal items are found
@@ -54,8 +58,11 @@ UNITS = set(
 )
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 _NUMBER_UNIT = re.compile(r"[-+]?\d[\d.,]*([a-z%°]+)")
+_OPERATORS = set("+-*/=^<>")
 _WORD, _NUM, _UNIT, _NUMUNIT, _CAPITAL, _NONE = range(6)
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$%") + "“”‘’«»„…–—¿¡"
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -66,12 +73,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Lexicon(dict):
-    """Number of each word, with its literal hash, type and whether it ends a sentence."""
+    """Number of each word, with its literal hash, type and whether it is an operator or ends a sentence."""
 
     def __init__(self, room: int = WORD_CACHE):
         self.room = room
         self.hash = np.zeros(room, np.uint64)
         self.kind = np.zeros(room, np.uint8)
+        self.sign = np.zeros(room, bool)
         self.ends = np.zeros(room, bool)
 
     def __missing__(self, word: str) -> int:
@@ -90,7 +98,8 @@ class _Lexicon(dict):
             kind = _CAPITAL
         else:
             kind = _WORD
-        self.hash[n] = xxhash.xxh3_64_intdigest(low)
+        self.sign[n] = kind == _NONE and word.strip("()[]{}") in _OPERATORS
+        self.hash[n] = xxhash.xxh3_64_intdigest(word.strip("()[]{}") if self.sign[n] else low)
         self.kind[n] = kind
         self.ends[n] = word.rstrip("\"')]}”’»").endswith((".", "!", "?", ":", "…"))
         self[word] = n
@@ -102,7 +111,7 @@ _PLACEHOLDER = np.array([xxhash.xxh3_64_intdigest(f"\x00slot{k}") for k in range
 
 
 def _words(text: str):
-    """(bare lower-case words, literal hashes, template hashes, slot types) of a text."""
+    """(tokens, places of words, literal hashes, types, capitals that open a sentence, operators after words)."""
     global _lexicon
     tokens = text.split()
     if len(_lexicon) + len(tokens) > _lexicon.room:
@@ -114,12 +123,17 @@ def _words(text: str):
     if len(place) > 1:
         ended = np.concatenate([[0], np.cumsum(ends)])
         opens[1:] = ended[place[1:]] > ended[place[:-1]]
+    signs = np.zeros(len(place), np.uint64)
+    at = np.flatnonzero(_lexicon.sign[ids])
     kind = kind[place]
-    kind = np.where((kind == _CAPITAL) & opens, _WORD, kind)
-    literal = _lexicon.hash[ids[place]]
-    slot = kind != _WORD
-    template = np.where(slot, _PLACEHOLDER[kind], literal)
-    return tokens, place, literal, template, np.where(slot, kind, 0)
+    if len(at) and len(place) > 1:
+        before = np.searchsorted(place, at) - 1
+        number = (kind == _NUM) | (kind == _NUMUNIT)
+        inner = (before >= 0) & (before < len(place) - 1)
+        inner[inner] = number[before[inner]] & number[before[inner] + 1]
+        # several operators in a row keep their order
+        np.add.at(signs, before[inner], _mix(_lexicon.hash[ids[at[inner]]] + (at - place[before])[inner].astype(np.uint64)))
+    return tokens, place, _lexicon.hash[ids[place]], kind, (kind == _CAPITAL) & opens, signs
 
 
 def _rolled(h: np.ndarray, size: int, salt: int) -> np.ndarray:
@@ -129,30 +143,73 @@ def _rolled(h: np.ndarray, size: int, salt: int) -> np.ndarray:
     return out
 
 
+def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: np.ndarray):
+    """Starts, ends, hashes and positions of the windows at ``dense``, widened to either side as far as needed."""
+    count = len(template)
+    words = np.concatenate([[0], np.cumsum(slot == 0)])
+    joints = np.concatenate([[0], np.cumsum(signs != 0)])  # an operator belongs to the word before it
+    upto = words + np.concatenate([[0], joints[:-1]])  # content before an end, the operator after it left out
+    since = words + joints
+    stop = np.searchsorted(upto, since[dense] + CONTENT)
+    stop = np.maximum(np.maximum(stop, np.searchsorted(words, words[dense] + 1)), dense + WINDOW)
+    start = np.searchsorted(since, upto[dense + WINDOW] - CONTENT, "right") - 1
+    start = np.minimum(np.minimum(start, np.searchsorted(words, words[dense + WINDOW] - 1, "right") - 1), dense)
+    right, left = stop <= count, (start >= 0) & (start < dense)
+    a = np.concatenate([dense[right], start[left]])
+    z = np.concatenate([stop[right], dense[left] + WINDOW])
+    at = np.concatenate([dense[right], dense[left]])
+    # the hash of any span from prefix sums of x[k] * B^k, divided by B^a; the operator before a span isn't in it
+    factors = np.full((2, count + 1), [[_BASE], [_INVERSE]], np.uint64)
+    factors[:, 0] = 1
+    powers, inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
+    x = _mix(template + np.concatenate([np.zeros(1, np.uint64), signs[:-1]]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers[:count], dtype=np.uint64)])
+    inner = (sums[z] - sums[a + 1]) * inverse[a]
+    return a, z, _mix(_mix(_mix(template[a]) + inner) + (z - a).astype(np.uint64)), at
+
+
 def windows(text: str | None):
-    """Hashes and positions of literal (0) and template (1) windows, their number, and a slot reader."""
-    tokens, place, literal, template, slot = _words(text or "")
+    """Hashes and positions of literal (0) and template windows, their number, and a slot reader.
+
+    Templates are of kind 1, or 2 where capitals that open a sentence are taken for names.
+    """
+    tokens, place, literal, types, capital, signs = _words(text or "")
     count = len(place)
     if not count:
         empty = np.empty(0, np.int64)
         return empty.astype(np.uint64), empty, empty, 0, lambda at, kind: []
     size = min(WINDOW, count)
     h0 = _rolled(literal, size, size)
-    slots = np.concatenate([[0], np.cumsum(slot > 0)])
-    inside = slots[size:] - slots[:-size]
-    use = np.flatnonzero((inside > 0) & (size - inside >= min(CONTENT, size)))
-    h1 = _rolled(template, size, 64 + size)[use]
-    hashes = np.concatenate([h0, h1])
-    at = np.concatenate([np.arange(len(h0)), use])
-    kind = np.concatenate([np.zeros(len(h0), np.int64), np.ones(len(use), np.int64)])
+    hashes, ats, kinds, masks = [h0], [np.arange(len(h0))], [np.zeros(len(h0), np.int64)], {}
+    opened = np.concatenate([[0], np.cumsum(capital)])
+    for which in (1, 2) if opened[-1] else (1,):
+        slot = masks[which] = np.where(capital, _WORD, types) if which == 1 else types
+        slots = np.concatenate([[0], np.cumsum(slot != _WORD)])
+        if not slots[-1]:
+            continue
+        template = np.where(slot != _WORD, _PLACEHOLDER[slot], literal)
+        inside = slots[size:] - slots[:-size]
+        anew = (opened[size:] > opened[:-size]) if which == 2 else True
+        few = size - inside < min(CONTENT, size)
+        use = np.flatnonzero((inside > 0) & ~few & anew)
+        hashes.append(_rolled(template, size, 64 + size)[use])
+        ats.append(use)
+        dense = np.flatnonzero((inside > 0) & few) if size == WINDOW else use[:0]
+        if len(dense):
+            a, z, h, at = _widened(template, slot, signs, dense)
+            fresh = np.flatnonzero(opened[z] > opened[a]) if which == 2 else np.arange(len(a))
+            hashes.append(h[fresh])
+            ats.append(at[fresh])
+        kinds.append(np.full(sum(map(len, ats)) - sum(map(len, kinds)), which))
 
     def values(start: int, which: int) -> list[str]:
         if not which:
             return []
-        span = range(start, start + size)
-        return [f"{slot[i]}:{tokens[place[i]].strip(_EDGES).lower()}" for i in span if slot[i]]
+        span = [i for i in range(start, start + size) if masks[which][i]]
+        # "?": only taken for a name
+        return [f"{'?' if capital[i] else ''}{masks[which][i]}:{tokens[place[i]].strip(_EDGES).lower()}" for i in span]
 
-    return hashes, at, kind, len(h0), values
+    return np.concatenate(hashes), np.concatenate(ats), np.concatenate(kinds), len(h0), values
 
 
 WINDOW_FIELDS = [
@@ -197,7 +254,7 @@ def window_rows(rows: DataFrame, key: str, text: str, known=None) -> DataFrame:
                         h, at, kind = h[keep], at[keep], kind[keep]
                     owner += [i] * len(h)
                     cols[0] += h.view(np.int64).tolist()
-                    cols[1] += kind.tolist()
+                    cols[1] += np.minimum(kind, 1).tolist()
                     cols[2] += at.tolist()
                     cols[3] += [total] * len(h)
                     cols[4] += [values(a, k) for a, k in zip(at.tolist(), kind.tolist())]
@@ -242,10 +299,13 @@ def matches(
 
     pair = ["doc", "item", "shift"]
     slot = hit.filter("kind = 1").select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    one = slot.groupBy(*pair, F.col("s.item_slots").alias("value")).agg(
-        F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi")
+    value, counterpart = (F.ltrim(F.col(c), F.lit("?")) for c in ("s.item_slots", "s.slots"))
+    one = slot.groupBy(*pair, value.alias("value")).agg(
+        F.min(counterpart).alias("lo"), F.max(counterpart).alias("hi"), F.min(F.col("s.item_slots").startswith("?")).alias("guess")
     )
-    fits = one.groupBy(*pair).agg(F.avg((F.col("lo") == F.col("hi")).cast("double")).alias("share"))
+    # a word that is only taken for a name and stays as it is says nothing
+    idle = F.col("guess") & (F.col("lo") == F.col("value")) & (F.col("hi") == F.col("value"))
+    fits = one.groupBy(*pair).agg(F.avg(F.when(~idle, (F.col("lo") == F.col("hi")).cast("double"))).alias("share"))
     fits = fits.filter(F.col("share") >= CONSISTENT).select(*pair)
     template = hit.filter("kind = 1").join(fits, pair, "left_semi")
     good = hit.filter("kind = 0").unionByName(template)

@@ -182,6 +182,33 @@ def test_leaks_of_a_part(spark):
     assert found[35]["exact"] and abs(found[35]["coverage"] - 23 / 55) < 1e-9
 
 
+def test_leaks_filled_anew(spark):
+    """Names that only open sentences, and windows with more slots than words."""
+    items = [
+        (1, "Sara bought 12 pens. Sara gave 4 away. Sara lost 3 more. How many pens remain?"),
+        (2, "Compute 12 + 7 * 3 - 5 + 9 now."),
+        (3, "From 10 20 30 40 50 60 70 km pick the longest road 5 8 2 6 4"),
+    ]
+    emma = items[0][1].replace("Sara", "Emma").replace("12", "15").replace("4", "6").replace("3", "2")
+    rows = [
+        (40, FILL + emma + FILL),
+        (41, FILL + " in short " + emma + FILL),  # the first name is inside a sentence
+        (43, FILL + "Compute 11 + 6 * 2 - 4 + 8 now." + FILL),
+        (44, FILL + "Compute 11 - 6 + 2 * 4 - 8 now." + FILL),  # other operators
+        (45, FILL + "9 8 7 6 5 4 3 2 1" + FILL),
+        (46, FILL + "From 11 21 31 41 51 61 71 miles pick the longest road 6 9 3 7 5" + FILL),
+        (47, FILL + "From 11 21 31 41 51 61 71 miles walk a very short way 6 9 3 7 5" + FILL),
+    ]
+    assert leaks(spark, rows, items) == {(40, 1), (41, 1), (43, 2), (46, 3)}
+
+
+def test_span_hashes_depend_on_the_span_alone():
+    h = lambda t: {(int(x), int(k > 0)) for x, k in zip(*(decontaminate.windows(t)[i] for i in (0, 2)))}
+    for text in ("Compute 12 + 7 * 3 - 5 + 9 now.", "the 3 4 5 6 old 7 8 cats of 9", "Sara gave Tom 4. Sara left 2 3 4 there."):
+        assert h(text) <= h("Many words. " + text + " And 5 6 more 7 words. ")
+    assert h("Add up 1 + 2 * 3 now") & h("Add up 4 + 5 * 6 now") and not h("see 1 + 2 * 3 now") & h("see 4 - 5 * 6 now")
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert leaks(spark, [(1, FILL + ITEMS[2][1]), (2, FILL)]) == {(1, 3)}
