@@ -171,6 +171,8 @@ class _Words(dict):
 class WordEncoder:
     """Packed ids of whole texts from a tokenizer whose tokens never cross white space.
 
+    As in the library's plain call, the strings of its special tokens get their ids wherever they stand.
+
     Such a tokenizer gives the same ids for a text and for its words one by one, so words that are
     cut at plain spaces and line feeds are encoded by the library once and cached. Where it also
     lower-cases and cuts Latin letters from punctuation, which is tried once, the library's model is
@@ -181,7 +183,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.alphabet = byte_alphabet()
         self.stems, self.marks, self.words = _Words(self._model), _Words(self._library), _Words(self._word)
         self.plain = self._cuts_letters()

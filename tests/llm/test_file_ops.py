@@ -104,6 +104,21 @@ def test_words_like_whole_texts():
         assert np.frombuffer(encoder.encode(t), "<u2").tolist() == ids, repr(t[:80])
 
 
+def test_special_tokens_like_the_plain_call():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    encoder = token_files.WordEncoder(PATH, "<u2")
+    rng = random.Random(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "hello", "World", "endoftext", " ", "\n", "\t", ".", "é", "'s", "9"]
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|startoftext|>", "<|endoftext|><|endoftext|>\n"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for t in texts:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(t), "<u2").tolist() == ids, repr(t)
+    assert np.frombuffer(encoder.encode(texts[0]), "<u2").tolist() == [3306, 49407, 1002]
+
+
 def test_query_like_the_library(spark):
     rows = {r["doc_id"]: r for r in queries()["op6_token_files"](spark, SF).collect()}
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
