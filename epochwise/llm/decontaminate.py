@@ -20,6 +20,7 @@ together. Empty tables give no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,8 @@ CONSISTENT = 0.75
 #: Most distinct benchmark windows that are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 WORD_CACHE = 400_000
+#: Powers of the hash base that a worker keeps; longer texts have theirs made anew.
+POWERS = 1 << 16
 
 # fixed values: words that stand for a number or a unit of measure
 NUMBERS = set(
@@ -67,9 +70,12 @@ _MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIXERS[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIXERS[1]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _MIXERS[0]
+    x ^= x >> np.uint64(27)
+    x *= _MIXERS[1]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class _Lexicon(dict):
@@ -136,15 +142,34 @@ def _words(text: str):
     return tokens, place, _lexicon.hash[ids[place]], kind, (kind == _CAPITAL) & opens, signs
 
 
-def _rolled(h: np.ndarray, size: int, salt: int) -> np.ndarray:
-    out = np.full(len(h) - size + 1, salt, np.uint64)
+def _rolled(h: np.ndarray, size: int, salt: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows of ``size`` words, all of them or those that start ``at``."""
+    out = np.full(len(h) - size + 1 if at is None else len(at), salt, np.uint64)
     for j in range(size):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j])
-    return out
+        out *= np.uint64(_BASE)
+        out += h[j : len(h) - size + 1 + j] if at is None else h[at + j]
+    return _mix(out)  # the words' hashes are scrambled already
 
 
-def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: np.ndarray):
-    """Starts, ends, hashes and positions of the windows at ``dense``, widened to either side as far as needed."""
+@functools.cache
+def _power_table(count: int) -> np.ndarray:
+    """Powers of the base, and of its inverse, up to ``count`` of them."""
+    factors = np.full((2, count), [[_BASE], [_INVERSE]], np.uint64)
+    factors[:, 0] = 1
+    return np.cumprod(factors, axis=1, dtype=np.uint64)
+
+
+def _powers(count: int) -> np.ndarray:
+    if count > POWERS:  # rare and long texts have theirs made anew, so that a worker doesn't keep them
+        return _power_table.__wrapped__(count)
+    return _power_table(POWERS)
+
+
+def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: np.ndarray, opened: np.ndarray | None):
+    """Hashes and positions of the windows at ``dense``, widened to either side as far as needed.
+
+    ``opened``: running count of sentence-opening capitals, where only windows that hold one are asked for.
+    """
     count = len(template)
     words = np.concatenate([[0], np.cumsum(slot == 0)])
     joints = np.concatenate([[0], np.cumsum(signs != 0)])  # an operator belongs to the word before it
@@ -158,14 +183,20 @@ def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: n
     a = np.concatenate([dense[right], start[left]])
     z = np.concatenate([stop[right], dense[left] + WINDOW])
     at = np.concatenate([dense[right], dense[left]])
+    if opened is not None:
+        fresh = np.flatnonzero(opened[z] > opened[a])
+        a, z, at = a[fresh], z[fresh], at[fresh]
+    if not len(a):
+        return template[:0], at
     # the hash of any span from prefix sums of x[k] * B^k, divided by B^a; the operator before a span isn't in it
-    factors = np.full((2, count + 1), [[_BASE], [_INVERSE]], np.uint64)
-    factors[:, 0] = 1
-    powers, inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
-    x = _mix(template + np.concatenate([np.zeros(1, np.uint64), signs[:-1]]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers[:count], dtype=np.uint64)])
+    powers, inverse = _powers(count + 1)
+    x = template.copy()
+    x[1:] += signs[:-1]
+    x = _mix(x)
+    x *= powers[:count]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
     inner = (sums[z] - sums[a + 1]) * inverse[a]
-    return a, z, _mix(_mix(_mix(template[a]) + inner) + (z - a).astype(np.uint64)), at
+    return _mix(_mix(_mix(template[a]) + inner) + (z - a).astype(np.uint64)), at
 
 
 def windows(text: str | None):
@@ -192,14 +223,13 @@ def windows(text: str | None):
         anew = (opened[size:] > opened[:-size]) if which == 2 else True
         few = size - inside < min(CONTENT, size)
         use = np.flatnonzero((inside > 0) & ~few & anew)
-        hashes.append(_rolled(template, size, 64 + size)[use])
+        hashes.append(_rolled(template, size, 64 + size, use))
         ats.append(use)
         dense = np.flatnonzero((inside > 0) & few) if size == WINDOW else use[:0]
         if len(dense):
-            a, z, h, at = _widened(template, slot, signs, dense)
-            fresh = np.flatnonzero(opened[z] > opened[a]) if which == 2 else np.arange(len(a))
-            hashes.append(h[fresh])
-            ats.append(at[fresh])
+            h, at = _widened(template, slot, signs, dense, opened if which == 2 else None)
+            hashes.append(h)
+            ats.append(at)
         kinds.append(np.full(sum(map(len, ats)) - sum(map(len, kinds)), which))
 
     def values(start: int, which: int) -> list[str]:
