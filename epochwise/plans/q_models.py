@@ -16,8 +16,6 @@ from epochwise.session import materialise
 TREES, DEPTH = 300, 12
 HIDDEN = (64, 32)
 
-_scored: dict[tuple[str, str, str], DataFrame] = {}
-
 
 def stored(t: Hub):
     """The feature table, written once for the many scans of a fold loop; a subject's rows lie apart."""
@@ -37,14 +35,11 @@ def summary(scored, by=("model", "protocol")):
 
 
 def out_of_fold(t: Hub, spec, protocol: str = "loso") -> DataFrame:
-    """Scored rows of a model, stored once per session and folder: two queries look at them."""
-    key = (t.spark.sparkContext.applicationId, t.dir, f"{spec.name}-{protocol}")
-    if key not in _scored:
-        rows, fold = models.with_folds(stored(t), protocol)
-        if fold != "subject":
-            rows = materialise(rows, "folded")
-        _scored[key] = models.out_of_fold(rows, FEATS, spec, fold=fold, protocol=protocol)
-    return _scored[key]
+    """Scored rows of a model, fitted anew by each query: nothing is kept between calls."""
+    rows, fold = models.with_folds(stored(t), protocol)
+    if fold != "subject":
+        rows = materialise(rows, "folded")
+    return models.out_of_fold(rows, FEATS, spec, fold=fold, protocol=protocol)
 
 
 def fold_facts(t: Hub, spec, protocol: str = "loso") -> DataFrame:
@@ -266,15 +261,9 @@ def robustness(t: Hub):
     return out.select("variant", *[F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "roc_auc")])
 
 
-_active: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
-
-
 def active(t: Hub, strategy: str) -> tuple[DataFrame, DataFrame]:
-    """(history, audit) of a run at the published settings, once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.dir, strategy)
-    if key not in _active:
-        _active[key] = experiments.active_learning(stored(t), FEATS, forest(), strategy)
-    return _active[key]
+    """(history, audit) of a run at the published settings."""
+    return experiments.active_learning(stored(t), FEATS, forest(), strategy)
 
 
 @query("active_learning")

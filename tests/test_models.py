@@ -134,3 +134,18 @@ def test_closed_forms_take_any_number_of_folds(rows):
     for scores in (closed_form.lda_scores, closed_form.gnb_scores):
         got = scores(many, COLS, fold="fold")
         assert got.count() == 240 and auc(got) > 0.95
+
+
+def test_queries_keep_no_fitted_results(hub, monkeypatch):
+    """Each call fits: nothing of an earlier one, or of the other query of a pair, is read."""
+    from epochwise.operators import experiments as ops
+    from epochwise.plans import q_models
+
+    fits = []
+    monkeypatch.setattr(q_models, "stored", lambda t: hub.emb)
+    monkeypatch.setattr(q_models.models, "out_of_fold", lambda *a, **k: fits.append("oof") or hub.emb)
+    monkeypatch.setattr(ops, "active_learning", lambda *a, **k: fits.append("active") or (hub.emb, hub.emb))
+    for _ in range(2):
+        q_models.out_of_fold(hub, q_models.SPECS["logistic"])
+        q_models.active(hub, "uncertainty")
+    assert fits == ["oof", "active"] * 2
