@@ -10,13 +10,13 @@
    are confirmed by intersecting the full sets. Links give components.
 4. Buckets with members of different components go on: the next 7 members lead, then the next 56, and
    so on, each against the members of other components, until a bucket is in one component or
-   all its members have led. So no link between different texts of a bucket is lost, and a group
-   of a million near copies of one text costs a million comparisons.
+   all its members have led. So each pair of different texts of a bucket is compared by its sketches
+   or joined through others, and a group of a million near copies of one text costs a million comparisons.
 
 With 64 bands of 8 rows a pair at the limit of 0.8 shares no band with a chance of 8e-6. The sketch limit
-lies four standard deviations of its estimate below 0.8, so a pair at 0.8 is turned away with a
-chance of 3e-5, and one at 0.82 with less than 1e-6; pairs at 0.67 nearly always are, which keeps large
-groups of texts that are not quite alike from being confirmed pair by pair.
+lies seven standard deviations of the differing bits beyond those expected at 0.8 (186, with a deviation
+of 16; the limit is 296), so hardly any link is lost by it; a link that is lost is one without a band
+in common.
 
 Nulls: a null text is empty; an empty set is linked with nothing. A null id is in no group: its
 component is null. Rows with the same id are one document. Empty tables give no rows.
@@ -43,7 +43,7 @@ BANDS, ROWS = 64, 8
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 32  # of 64 bits
 #: Estimated similarity below which a candidate is taken for no link at 0.8.
-SKETCH_FLOOR = 0.72
+SKETCH_FLOOR = 0.66
 PERCENT = 80
 WORD_CACHE = 150_000
 

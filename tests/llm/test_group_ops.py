@@ -101,6 +101,18 @@ def test_odd_sketch_estimates_high_similarity():
         assert abs(estimate - true) < 0.08
 
 
+def test_sketch_limit_lies_six_deviations_beyond_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    bits = near_dup.SKETCH_WORDS * 64
+    differ = [
+        int((np.bincount(rng.integers(0, bits, 2 * rng.binomial(near_dup.SAMPLES, 0.2)), minlength=bits) & 1).sum())
+        for _ in range(4000)
+    ]
+    assert near_dup.xor_limit() >= np.mean(differ) + 6 * np.std(differ)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c"), (None, "a b c"), (5, "a b c"), (5, "a b c"), (6, "a b c"), (7, ""), (8, None)]
     docs = documents(spark, rows)
