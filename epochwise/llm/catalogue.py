@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epochwise.llm import q_files, q_groups, q_records, q_text, registry  # noqa: F401
+from epochwise.llm import q_files, q_groups, q_records, q_text, q_words, registry  # noqa: F401
 
 
 def queries():
