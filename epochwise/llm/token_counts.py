@@ -31,8 +31,9 @@ from importlib import metadata
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epochwise.llm.token_files import WordEncoder
 from epochwise.session import discard, materialise
@@ -41,6 +42,8 @@ CACHE = "digest binary, n_tokens long"
 LIMIT = 2048
 #: At most so many missing digests (32 bytes each) are sent to all executors to pick their texts.
 SENT_DIGESTS = 100_000
+#: Words whose counts a worker remembers; twice as many while it changes over.
+WORDS = 400_000
 LIBRARY = {"json": "tokenizers", "model": "sentencepiece"}
 
 
@@ -98,24 +101,63 @@ def encoder(path: str) -> Callable[[str], int]:
     return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-@functools.cache
-def _worker(path: str) -> Callable[[str], int]:
-    """As ``encoder``; where white space is dropped, words are encoded once and remembered."""
-    if not drops_white_space(path):
-        return encoder(path)
-    words = WordEncoder(path, "<u4")
-    return lambda text: len(words.encode(text)) // 4
+class _Counts(dict):
+    """Numbers of tokens of words. When full, what was looked up since the last time is kept."""
 
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode, self.before = encode, {}
 
-def normalised(text: Column, path: str) -> Column:
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    if not drops_white_space(path):
-        return text
-    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    def __missing__(self, word: str) -> int:
+        count = self.before.get(word)
+        if count is None:
+            count = len(self.encode(word)) // 4
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = count
+        return count
 
 
-def content_digest(text: Column) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
+@functools.cache
+def _worker(path: str) -> Callable[[str], int]:
+    """As ``encoder`` for normalised texts; where white space is dropped, words are encoded once and remembered."""
+    if not drops_white_space(path):
+        return encoder(path)
+    words = _Counts(WordEncoder(path, "<u4").encode_word)
+    return lambda text: sum(map(words.__getitem__, text.split(" ")))
+
+
+def normalised(text: str | None, path: str) -> bytes:
+    """The text in UTF-8 as it is digested and encoded."""
+    raw = (text or "").encode()
+    # bytes are split at the six white-space characters of ASCII
+    return b" ".join(raw.split()) if drops_white_space(path) else raw
+
+
+def digested(docs: DataFrame, text: str, path: str, key: str | None = None) -> DataFrame:
+    """(key, n_bytes, digest) for every row of ``docs``; without ``key`` (digest, text), the text normalised."""
+    given = F.col(text).cast("string").alias("text")
+    rows = docs.select(given) if key is None else docs.select(F.col(key).alias("key"), given)
+    fields = [T.StructField("digest", T.BinaryType())]
+    if key is None:
+        fields += [T.StructField("text", T.StringType())]
+    else:
+        fields = [rows.schema["key"], T.StructField("n_bytes", T.LongType())] + fields
+    schema = T.StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            norms = [normalised(t, path) for t in texts]
+            digests = pa.array([hashlib.sha256(t).digest() for t in norms], pa.binary())
+            if key is None:
+                columns = [digests, pa.array(norms, pa.binary()).cast(pa.string())]
+            else:
+                sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
+                columns = [batch.column("key"), sizes, digests]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def read_cache(spark: SparkSession, cache_path: str, tokenizer_version: str) -> DataFrame:
@@ -142,8 +184,7 @@ def encode_misses(
     misses = materialise(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "count-misses")
     count = misses.count()
     if count:
-        norm = normalised(F.col(text), path)
-        texts = docs.select(content_digest(norm).alias("digest"), norm.alias("text"))
+        texts = digested(docs, text, path)
         if count <= SENT_DIGESTS:
             texts = texts.join(F.broadcast(misses), "digest", "left_semi")
         todo = texts.groupBy("digest").agg(F.first("text").alias("text"))
@@ -169,17 +210,12 @@ def count_tokens(
     docs: DataFrame, key: str, text: str, cache_path: str, tokenizer_path: str, limit: int = LIMIT
 ) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row of ``docs``; new counts are in the cache afterwards."""
-    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(
-        F.col(key),
-        F.octet_length(raw).cast("bigint").alias("n_bytes"),
-        content_digest(normalised(F.col(text), tokenizer_path)).alias("digest"),
-    )
-    keyed = materialise(keyed, "count-digests")
+    keyed = materialise(digested(docs, text, tokenizer_path, key), "count-digests")
     encode_misses(docs, text, keyed, cache_path, tokenizer_path)
     # stored, so that a digest with very many rows stands directly behind its shuffle and may be split
     counts = materialise(read_cache(docs.sparkSession, cache_path, version(tokenizer_path)), "counts")
     lost = F.raise_error(F.lit("a digest has no count")).cast("bigint")
     n_tokens = F.coalesce("n_tokens", lost)
-    joined = keyed.join(counts, "digest", "left").select(key, "n_bytes", n_tokens.alias("n_tokens"))
+    joined = keyed.join(counts, "digest", "left")
+    joined = joined.select(F.col("key").alias(key), "n_bytes", n_tokens.alias("n_tokens"))
     return joined.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -184,7 +184,7 @@ class WordEncoder:
 
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
         self.alphabet = byte_alphabet()
-        self.stems, self.marks, self.words = _Words(self._model), _Words(self._library), _Words(self._word)
+        self.stems, self.marks, self.words = _Words(self._model), _Words(self._library), _Words(self.encode_word)
         self.plain = self._cuts_letters()
 
     def _cuts_letters(self) -> bool:
@@ -203,7 +203,8 @@ class WordEncoder:
     def _library(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a text without white space."""
         plain = _PLAIN.fullmatch(word) if self.plain else None
         if not plain:
             return self._library(word)
