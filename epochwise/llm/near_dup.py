@@ -7,11 +7,14 @@
 3. Two classes that share a band are candidates. First each member of a bucket is compared with the
    bucket's lead, the member that shares most buckets with others, which among near copies is
    the text they were made from. A candidate whose sketches differ too much is dropped, the others
-   are confirmed by intersecting the full sets. Links give components.
+   are confirmed by intersecting the full sets. Links give components. Besides the sketch of the samples there is
+   one of the whole set. Each bit in which two of those differ stands for at least one shingle that only one
+   of the sets has, so a pair with more such bits than a link may have single shingles is no link, for certain.
 4. Buckets with members of different components go on: the next 7 members lead, then the next 56, and
    so on, each against the members of other components, until a bucket is in one component or
-   all its members have led. So each pair of different texts of a bucket is compared by its sketches
-   or joined through others, and a group of a million near copies of one text costs a million comparisons.
+   all its members have led. A pair is taken in the first band that it shares. So each pair of different texts of a
+   bucket is compared by its sketches or joined through others, and a group of a million near copies of one text
+   costs a million comparisons.
 
 With 64 bands of 8 rows a pair at the limit of 0.8 shares no band with a chance of 8e-6. The sketch limit
 lies seven standard deviations of the differing bits beyond those expected at 0.8 (186, with a deviation
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from epochwise.session import materialise
+from epochwise.session import discard, materialise
 
 BANDS, ROWS = 64, 8
 SAMPLES = BANDS * ROWS
@@ -109,6 +112,13 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set: two differ in no more bits than the sets have shingles of their own."""
+    bits = SKETCH_WORDS * 64
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def xor_limit(floor: float = SKETCH_FLOOR) -> int:
     """Most differing bits expected at similarity ``floor``."""
     bits = SKETCH_WORDS * 64
@@ -137,7 +147,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(id, name, n, bands, sketch): the set's digest and size, its band keys and odd sketch."""
+    """(id, name, n, bands, sketch, parity): the set's digest and size, its band keys and odd sketches."""
     keyed = _keyed(docs, doc_id, text)
     schema = T.StructType(
         [
@@ -146,13 +156,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             T.StructField("n", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("sketch", T.ArrayType(T.LongType())),
+            T.StructField("parity", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batches):
         longs = pa.list_(pa.int64())
         for batch in _pieces(batches):
-            names, sizes, keys, sketches = [], [], [], []
+            names, sizes, keys, sketches, parities = [], [], [], [], []
             for value in batch.column("text"):
                 s = shingles(value.as_py(), n)
                 names.append(set_name(s))
@@ -160,6 +171,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
                 samples = minhash(s) if len(s) else None
                 keys.append(None if samples is None else bands(samples))
                 sketches.append(None if samples is None else odd_sketch(samples))
+                parities.append(None if samples is None else parity_sketch(s))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -167,6 +179,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, longs),
                     pa.array(sketches, longs),
+                    pa.array(parities, longs),
                 ],
                 names=schema.names,
             )
@@ -202,6 +215,21 @@ def _differing(a: Column, b: Column) -> Column:
     )
 
 
+def _may_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether sizes and sketches of two sets allow a link. Sizes and whole-set sketches never turn a link away."""
+    single = (a["n"] + b["n"]) * (100 - percent) >= _differing(a["parity"], b["parity"]) * (100 + percent)
+    sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
+    return sizes & single & (_differing(a["sketch"], b["sketch"]) <= xor_limit())
+
+
+CARD = ("n", "sketch", "parity")
+
+
+def _card(cards: DataFrame, side: str) -> DataFrame:
+    """``cards`` with every column but those renamed here as ``side_*``, the id as ``side``."""
+    return cards.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in CARD])
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are at least ``percent`` alike."""
     left = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
@@ -212,7 +240,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): every node of ``edges`` (a, b) with the smallest node that it reaches.
+    """(id, comp): every node of ``edges`` (a, b) with the smallest node that it reaches; a stored table.
 
     Large-star and small-star steps in turn. Each is a minimum per node, combined before the
     shuffle, and a join; no list of neighbours is ever built.
@@ -222,9 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
-            return now.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id").unionByName(
-                now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
-            )
+            break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -232,7 +258,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = _oriented(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(_oriented(moved.unionByName(low.withColumnRenamed("m", "v"))), "edges")
+        after = materialise(_oriented(moved.unionByName(low.withColumnRenamed("m", "v"))), "edges")
+        discard(now)
+        now = after
+    stars = now.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
+    centres = now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
+    out = materialise(stars.unionByName(centres), "components")
+    discard(now)
+    return out
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -242,50 +275,55 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``."""
-    spark = docs.sparkSession
     sig = materialise(signatures(docs, doc_id, text, n), "signatures")
+    names = materialise(sig.select("id", "name", "n"), "names")
     usable = sig.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("name").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch", "parity")]
     )
     classes = materialise(classes, "classes")
-    sketch = classes.select("id", "sketch")
+    discard(sig)
 
     members = classes.select("id", F.posexplode("bands").alias("band", "key")).select(
         "id", F.xxhash64("band", "key").alias("bucket")
     )
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    bucketed = materialise(members.join(shared, "bucket"), "buckets")
-    degree = bucketed.groupBy("id").agg(F.sum("size").alias("degree"))
-    bucketed = materialise(bucketed.join(degree, "id").select("bucket", "id", "size", "degree"), "buckets")
-    wanted = classes.select("id", "name").join(degree.select("id"), "id", "left_semi")
-    sets = materialise(full_sets(docs, doc_id, text, n, wanted), "sets")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        both = with_a.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return both.filter(_differing(F.col("sa"), F.col("sb")) <= xor_limit()).select("a", "b")
+    plain = materialise(members.join(shared, "bucket"), "buckets")
+    degree = plain.groupBy("id").agg(F.sum("size").alias("degree"))
+    bucketed = materialise(plain.join(degree, "id").select("bucket", "id", "size", "degree"), "buckets")
+    wanted = classes.join(degree.select("id"), "id", "left_semi")
+    cards = materialise(wanted.select("id", "bands", *CARD), "cards")
+    sets = materialise(full_sets(docs, doc_id, text, n, wanted.select("id", "name")), "sets")
+    discard(plain)
 
     leads = bucketed.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("lead"))
     stars = bucketed.join(leads, "bucket").filter("id <> lead")
-    tested = materialise(close(stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()), "tested")
-    found = materialise(components(materialise(confirm(tested, sets, percent), "links")), "components")
+    stars = stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    tested = [materialise(_close(stars, cards, percent), "tested")]
+    links = materialise(confirm(tested[0], sets, percent), "links")
+    found = components(links)
+    discard(links)
     mixed, done = bucketed, 1
     while True:
-        mixed = materialise(_mixed(mixed, found, done), "mixed")
+        before, mixed = mixed, materialise(_mixed(mixed, found, done), "mixed")
+        discard(before)
         if mixed.isEmpty():
             break
-        pairs = materialise(_open_pairs(mixed, sketch, tested, done, 8 * done), "tested")
+        known = functools.reduce(DataFrame.unionByName, [t.select("a", "b") for t in tested])
+        pairs = materialise(_open_pairs(mixed, cards, known, done, 8 * done, percent), "tested")
         links = materialise(confirm(pairs, sets, percent), "links")
-        tested = tested.unionByName(pairs.select("a", "b"))
+        tested.append(pairs)
         if not links.isEmpty():
-            found = materialise(_merged(found, pairs.join(links, ["a", "b"], "left_semi")), "components")
+            before, found = found, _merged(found, pairs.join(links, ["a", "b"], "left_semi"))
+            discard(before)
+        discard(links)
         done *= 8
+    discard(mixed, cards, sets, *tested)
 
     class_of = classes.select("name", "id").join(found, "id", "left").select(
         "name", F.coalesce("comp", "id").alias("_comp")
     )
-    out = sig.select("id", "name", "n").join(class_of, "name", "left")
+    out = names.join(class_of, "name", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("_comp"))
     return out.select(
@@ -296,13 +334,23 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     )
 
 
+def _close(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be links by their sizes and sketches."""
+    both = pairs.join(_card(cards, "a"), "a").join(_card(cards, "b"), "b")
+    a, b = ({c: F.col(f"{side}_{c}") for c in CARD} for side in "ab")
+    return both.filter(_may_link(a, b, percent)).select("a", "b")
+
+
 def _merged(found: DataFrame, linked: DataFrame) -> DataFrame:
-    """``found`` after the components ``ca`` and ``cb`` of each linked pair have become one."""
+    """``found`` after the components ``ca`` and ``cb`` of each linked pair have become one; a stored table."""
     joined = components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     # a document that was alone is its own component
     alone = joined.select("id", F.col("id").alias("comp")).join(found, "id", "left_anti")
     moved = joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-    return found.unionByName(alone).join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp"))
+    placed = found.unionByName(alone).join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp"))
+    out = materialise(placed, "components")
+    discard(joined)
+    return out
 
 
 def _mixed(bucketed: DataFrame, found: DataFrame, done: int) -> DataFrame:
@@ -317,24 +365,29 @@ def _mixed(bucketed: DataFrame, found: DataFrame, done: int) -> DataFrame:
     return placed.join(several.select("bucket"), "bucket").select("bucket", "id", "size", "degree", "comp")
 
 
-def _open_pairs(mixed: DataFrame, sketch: DataFrame, tested: DataFrame, done: int, most: int) -> DataFrame:
-    """(a, b, ca, cb): untested pairs of a lead and a bucket mate in another component, if their sketches allow a link.
+def _open_pairs(mixed: DataFrame, cards: DataFrame, tested: DataFrame, done: int, most: int, percent: int) -> DataFrame:
+    """(a, b, ca, cb): untested pairs of a lead and a bucket mate in another component, if they may be linked.
 
     Leads are the members numbered from ``done + 1`` to ``most`` by degree; the first ones
     have been compared already.
     """
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("id")))
-    sketched = mixed.join(sketch, "id")
+    cards = cards.select("id", *CARD, F.transform("bands", lambda k, i: F.xxhash64(i, k)).alias("keys"))
+    carded = mixed.select("bucket", "id", "comp").join(cards, "id")
     leads = mixed.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("rank") > done))
-    leads = leads.join(sketch, "id").select(
-        "bucket", F.col("id").alias("lead"), F.col("comp").alias("lc"), F.col("sketch").alias("ls")
+    leads = leads.select("bucket", "id", "comp").join(cards, "id")
+    leads = leads.select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "comp", "keys", *CARD)])
+    a, b = {c: F.col(f"l_{c}") for c in CARD}, {c: F.col(c) for c in CARD}
+    # the sketches are compared in the join, so only pairs that may be links come out of it, and each in the
+    # first bucket that it shares; the order of the buckets is that of their bands
+    common = F.filter(F.zip_with("l_keys", "keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    pairs = leads.join(carded, "bucket").filter(
+        (F.col("l_comp") != F.col("comp")) & _may_link(a, b, percent) & (common[0] == F.col("bucket"))
     )
-    differ = _differing(F.col("ls"), F.col("sketch"))
-    # the sketches are compared in the join, so only pairs that may be links come out of it
-    pairs = leads.join(sketched, "bucket").filter((F.col("lc") != F.col("comp")) & (differ <= xor_limit())).select(
-        F.least("lead", "id").alias("a"),
-        F.greatest("lead", "id").alias("b"),
-        F.least("lc", "comp").alias("ca"),
-        F.greatest("lc", "comp").alias("cb"),
+    pairs = pairs.select(
+        F.least("l_id", "id").alias("a"),
+        F.greatest("l_id", "id").alias("b"),
+        F.least("l_comp", "comp").alias("ca"),
+        F.greatest("l_comp", "comp").alias("cb"),
     )
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")

@@ -56,3 +56,28 @@ def test_odd_rows_pass_every_stage(spark):
     assert sorted(str(r["doc_id"]) for r in near) == ["1", "1", "2", "3", "None", "None"]
     clean = {r["doc_id"]: r for r in pipeline.without_secrets(spark, docs, SF).collect()}
     assert (clean[3]["text"], clean[3]["n_chars"]) == ("[ASSIGN]", 8)
+
+
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    """A clean text stays whatever other row has its id; of copies one row stays, with a null id too."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [
+        (5, word(1), "a"),
+        (6, word(1), "a"),  # a copy of 5
+        (6, word(2), "a"),  # clean, though its id is that of a copy
+        (7, word(3), "b"),
+        (7, word(3), "a"),  # the same row again
+        (None, word(4), "a"),
+        (None, word(4) + " end", "a"),  # near copies without ids
+        (None, word(5), "a"),
+        (None, word(1), "a"),  # a copy of 5 without an id
+        (8, None, "a"),
+        (8, "", "a"),
+        (8, "", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = sorted(map(tuple, pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    want = [rows[0], rows[2], rows[4], rows[7], rows[9], rows[10], rows[11]]
+    texts = {r[1] for r in got if r[0] is None} - {word(5)}
+    assert len(texts) == 1 and texts <= {word(4), word(4) + " end"}
+    assert [r for r in got if r[1] not in texts] == sorted(want, key=str)
