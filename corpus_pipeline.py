@@ -4,12 +4,19 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 the columns of ``docs`` as they came in, extra ones included:
 
 1. ``quality``: documents under the classifier's threshold go. Null and empty texts are scored too.
-2. ``near_duplicates``: of documents alike in 80 % of their five-word shingles the one with the
-   smallest id stays. Null ids and texts without words are in no group and stay.
-3. ``decontaminate``: documents that hold a benchmark item go.
-4. ``secrets``: found secrets are replaced by a mark in the text, and ``n_chars`` follows.
+2. ``near_duplicates``: of the texts alike in 80 % of their five-word shingles one stays, that with the
+   smallest id; a null id comes after all others. A row is known by its id and text together, so a row whose id occurs
+   again with another text is judged by its own text. Of rows with the same id and text the first by their
+   columns stays. Texts without words are in no group and stay, also repeated ones.
+3. ``decontaminate``: documents that hold a benchmark item go. Null and empty texts hold none and stay; very long
+   texts are searched whole; repeated rows go or stay together.
+4. ``secrets``: found secrets are replaced by a mark in the text, and ``n_chars`` follows. Null texts stay null, empty
+   ones empty; repeated rows are changed alike; very long texts are scanned whole.
 5. ``encode``: ids of the whole text, as packed little-endian 32-bit integers, and their number.
-   What the ids decode to must be the text; else the job fails.
+   What the ids decode to must be the text; else the job fails. A null text has the ids of the empty one, none; a
+   null id and repeated rows keep their rows. Columns other than id and text are left out.
+
+Further columns may have any names. Empty tables pass every stage.
 """
 
 from __future__ import annotations
@@ -33,8 +40,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    gone = near_dup.groups(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    text = F.col("text").cast("string")
+    kind = docs.schema["doc_id"].dataType
+    key = F.struct(
+        F.col("doc_id").isNull().alias("absent"),
+        F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"),
+        F.xxhash64(text).alias("text"),
+        F.hash(text).alias("check"),
+    )
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    found = near_dup.groups(docs.select(key.alias("key"), "text"), "key")
+    found = materialise(found.select(F.col("id").alias(name), "n_shingles", "kept"), "near-duplicates")
+    repeated = found.filter("kept AND n_shingles > 0").groupBy(name).agg(F.count("*").alias("rows")).filter("rows > 1")
+    repeated = materialise(repeated.select(name), "repeated")
+    gone = found.filter("NOT kept").select(name).distinct().unionByName(repeated)
+    out = docs.join(gone, key == F.col(name), "left_anti")
+    if repeated.isEmpty():
+        return out
+    again = docs.join(repeated, key == F.col(name), "left_semi").select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return out.unionByName(again.groupBy("key").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
