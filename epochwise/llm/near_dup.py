@@ -10,10 +10,10 @@
    are confirmed by intersecting the full sets. Links give components. Besides the sketch of the samples there is
    one of the whole set. Each bit in which two of those differ stands for at least one shingle that only one
    of the sets has, so a pair with more such bits than a link may have single shingles is no link, for certain.
-4. Buckets with members of different components go on: the next 7 members lead, then the next 56, and
-   so on, each against the members of other components, until a bucket is in one component or
-   all its members have led. A pair is taken in the first band that it shares. So each pair of different texts of a
-   bucket is compared by its sketches or joined through others, and a group of a million near copies of one text
+4. Buckets with members of different components go on. First their next ``LEADS`` members lead, against the members of
+   other components. In those that are still mixed then, every member outside the bucket's largest component leads, so every
+   pair of its components is compared. A pair is taken in the first band that it shares. So each pair of different
+   texts of a bucket is compared by its sketches or joined through others, and a group of a million near copies of one text
    costs a million comparisons.
 
 With 64 bands of 8 rows a pair at the limit of 0.8 shares no band with a chance of 8e-6. The sketch limit
@@ -49,6 +49,8 @@ SKETCH_WORDS = 32  # of 64 bits
 SKETCH_FLOOR = 0.66
 PERCENT = 80
 WORD_CACHE = 150_000
+#: Members of a mixed bucket that lead after the first.
+LEADS = 7
 
 
 class _Words(dict):
@@ -255,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _oriented(large)
+        large = large.filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialise(_oriented(moved.unionByName(low.withColumnRenamed("m", "v"))), "edges")
@@ -289,36 +291,33 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     )
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     plain = materialise(members.join(shared, "bucket"), "buckets")
-    degree = plain.groupBy("id").agg(F.sum("size").alias("degree"))
-    bucketed = materialise(plain.join(degree, "id").select("bucket", "id", "size", "degree"), "buckets")
+    degree = materialise(plain.groupBy("id").agg(F.sum("size").alias("degree")), "degrees")
+    bucketed = materialise(plain.join(degree, "id").select("bucket", "id", "degree"), "buckets")
     wanted = classes.join(degree.select("id"), "id", "left_semi")
-    cards = materialise(wanted.select("id", "bands", *CARD), "cards")
-    sets = materialise(full_sets(docs, doc_id, text, n, wanted.select("id", "name")), "sets")
-    discard(plain)
+    cards = materialise(wanted.select("id", "name", "bands", *CARD), "cards")
+    sets = materialise(full_sets(docs, doc_id, text, n, cards.select("id", "name")), "sets")
+    discard(plain, degree)
 
     leads = bucketed.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("lead"))
     stars = bucketed.join(leads, "bucket").filter("id <> lead")
     stars = stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    tested = [materialise(_close(stars, cards, percent), "tested")]
-    links = materialise(confirm(tested[0], sets, percent), "links")
+    tested = materialise(_close(stars, cards, percent), "tested")
+    links = materialise(confirm(tested, sets, percent), "links")
     found = components(links)
-    discard(links)
-    mixed, done = bucketed, 1
-    while True:
-        before, mixed = mixed, materialise(_mixed(mixed, found, done), "mixed")
+    discard(tested, links)
+    mixed = bucketed
+    for leading in (_next_members, _outside_main):
+        before, mixed = mixed, materialise(_mixed(mixed, found), "mixed")
         discard(before)
         if mixed.isEmpty():
             break
-        known = functools.reduce(DataFrame.unionByName, [t.select("a", "b") for t in tested])
-        pairs = materialise(_open_pairs(mixed, cards, known, done, 8 * done, percent), "tested")
+        pairs = materialise(_open_pairs(leading(mixed), cards, percent), "tested")
         links = materialise(confirm(pairs, sets, percent), "links")
-        tested.append(pairs)
         if not links.isEmpty():
             before, found = found, _merged(found, pairs.join(links, ["a", "b"], "left_semi"))
             discard(before)
-        discard(links)
-        done *= 8
-    discard(mixed, cards, sets, *tested)
+        discard(pairs, links)
+    discard(mixed, cards, sets)
 
     class_of = classes.select("name", "id").join(found, "id", "left").select(
         "name", F.coalesce("comp", "id").alias("_comp")
@@ -353,41 +352,45 @@ def _merged(found: DataFrame, linked: DataFrame) -> DataFrame:
     return out
 
 
-def _mixed(bucketed: DataFrame, found: DataFrame, done: int) -> DataFrame:
-    """(bucket, id, size, degree, comp) of the buckets that are not settled.
+def _mixed(bucketed: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, id, degree, comp) of the buckets with members of several components.
 
-    A bucket is settled when its members are in one component, or when all of them have been
-    leads. It stays so, and is never looked at again.
+    The others are settled. They stay so, and are never looked at again.
     """
-    placed = bucketed.select("bucket", "id", "size", "degree").filter(F.col("size") > done).join(found, "id", "left")
+    placed = bucketed.select("bucket", "id", "degree").join(found, "id", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "id"))
     several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    return placed.join(several.select("bucket"), "bucket").select("bucket", "id", "size", "degree", "comp")
-
+    return placed.join(several.select("bucket"), "bucket").select("bucket", "id", "degree", "comp")
 
-def _open_pairs(mixed: DataFrame, cards: DataFrame, tested: DataFrame, done: int, most: int, percent: int) -> DataFrame:
-    """(a, b, ca, cb): untested pairs of a lead and a bucket mate in another component, if they may be linked.
 
-    Leads are the members numbered from ``done + 1`` to ``most`` by degree; the first ones
-    have been compared already.
-    """
+def _next_members(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``leads``: those numbered 2 to ``LEADS + 1`` by degree; the first has led already."""
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("id")))
+    return mixed.withColumn("_rank", rank).withColumn("leads", F.col("_rank").between(2, LEADS + 1)).drop("_rank")
+
+
+def _outside_main(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``leads``: those outside the bucket's largest component. Of any two components one member leads."""
+    sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("_main"))
+    return mixed.join(main, "bucket").withColumn("leads", F.col("comp") != F.col("_main")).drop("_main")
+
+
+def _open_pairs(mixed: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of a lead and a bucket mate in another component, if they may be linked."""
     cards = cards.select("id", *CARD, F.transform("bands", lambda k, i: F.xxhash64(i, k)).alias("keys"))
-    carded = mixed.select("bucket", "id", "comp").join(cards, "id")
-    leads = mixed.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("rank") > done))
-    leads = leads.select("bucket", "id", "comp").join(cards, "id")
-    leads = leads.select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "comp", "keys", *CARD)])
+    carded = mixed.select("bucket", "id", "comp", "leads").join(cards, "id")
+    leads = carded.filter("leads").select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "comp", "keys", *CARD)])
     a, b = {c: F.col(f"l_{c}") for c in CARD}, {c: F.col(c) for c in CARD}
+    # two leads meet once
+    apart = (F.col("l_comp") != F.col("comp")) & (~F.col("leads") | (F.col("l_id") < F.col("id")))
     # the sketches are compared in the join, so only pairs that may be links come out of it, and each in the
     # first bucket that it shares; the order of the buckets is that of their bands
     common = F.filter(F.zip_with("l_keys", "keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    pairs = leads.join(carded, "bucket").filter(
-        (F.col("l_comp") != F.col("comp")) & _may_link(a, b, percent) & (common[0] == F.col("bucket"))
-    )
-    pairs = pairs.select(
+    pairs = leads.join(carded, "bucket").filter(apart & _may_link(a, b, percent) & (common[0] == F.col("bucket")))
+    return pairs.select(
         F.least("l_id", "id").alias("a"),
         F.greatest("l_id", "id").alias("b"),
         F.least("l_comp", "comp").alias("ca"),
         F.greatest("l_comp", "comp").alias("cb"),
     )
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
