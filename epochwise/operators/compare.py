@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epochwise.functions import stats
 from epochwise.functions.exprs import ratio
@@ -13,6 +17,10 @@ from epochwise.operators import ordering
 from epochwise.session import materialise
 
 
+#: Values of one block of a bootstrap's group, and places whose draws one task makes.
+BLOCK, STRETCH = 100_000, 1_000
+
+
 def spread(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """mean, sd (ddof 1), median, q1, q3, min, max per key; quantiles exact."""
     # the per-subject table is read by several passes
@@ -59,23 +67,52 @@ def draw(b: Column, j: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def _hit_sums(seed: str, resamples: int, places: range, n: int, at: int, held: np.ndarray) -> np.ndarray:
+    """For each resample the sum of the values at ``at`` and on that the draws of these places hit; draws as in ``draw``."""
+    head, md5 = f"{seed}:".encode(), hashlib.md5
+    tails = [f":{j}".encode() for j in places]
+    out = np.zeros(resamples)
+    for b in range(resamples):
+        start = head + str(b).encode()
+        drawn = np.frombuffer(b"".join([md5(start + t).digest()[:4] for t in tails]), ">u4").astype(np.int64) % n - at
+        out[b] = held[drawn[(drawn >= 0) & (drawn < len(held))]].sum()
+    return out
+
+
 def bootstrap(values: DataFrame, keys: Sequence[str], group: str = "subject", value: str = "value", resamples: int = 2000, seed: str = "42") -> DataFrame:
     """Subject-level bootstrap of the mean: (keys, n, mean, lo, hi), 2.5 and 97.5 percentiles.
 
-    Every resample draws n subjects with replacement. Draws are counted per (resample, drawn
-    subject) before they meet the values, and the percentiles are over ``resamples`` numbers.
+    Every resample draws n subjects with replacement. A task takes the draws of a stretch of places in all resamples and
+    adds the values they hit to one array of ``resamples`` sums; only those arrays' numbers are shuffled. The values are
+    laid out in blocks of ``BLOCK``; a stretch meets each block once, so beyond one block the draws are made once per block.
     """
     values = materialise(values.select(*keys, group, value), "bootstrap")
     ranked = ordering.exact_rank(
         values, keys, [F.col(group)], ordering.sketch_bucket(values, group), out="_j", total="_n"
     ).withColumn("_j", F.col("_j") - 1)
     ranked = materialise(ranked, "bootstrap-ranked")
-    b = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")
-    drawn = ranked.select(*keys, "_n", "_j", b)
-    drawn = drawn.select(*keys, "_b", (draw(F.col("_b"), F.col("_j"), seed) % F.col("_n")).alias("_j"))
-    counted = drawn.groupBy(*keys, "_b", "_j").agg(F.count(F.lit(1)).alias("_c"))
-    met = counted.join(ranked.select(*keys, "_j", F.col(value).alias("_v")), [*keys, "_j"])
-    means = met.groupBy(*keys, "_b").agg((F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("_m"))
+    block = F.floor(F.col("_j") / BLOCK).alias("_block")
+    pair = F.struct("_j", F.col(value).cast("double").alias("v"))
+    blocks = ranked.groupBy(*keys, block).agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(pair)).alias("_p"))
+    blocks = blocks.select(*keys, "_n", (F.col("_block") * BLOCK).alias("_at"), F.col("_p.v").alias("_v"))
+    # a stretch of places for each task, so that a large group is spread
+    begin = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(STRETCH).cast("bigint"))).alias("_from")
+    work = blocks.select(*keys, "_n", "_at", "_v", begin).repartition(*keys, "_from")
+    fields = [work.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("_b", T.IntegerType()), T.StructField("_s", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                n, at, held, first = (batch.column(c)[r].as_py() for c in ("_n", "_at", "_v", "_from"))
+                held = np.array([np.nan if v is None else v for v in held], float)
+                sums = _hit_sums(seed, resamples, range(first, min(n, first + STRETCH)), n, at, held)
+                own = [pa.array([batch.column(k)[r].as_py()] * resamples, batch.column(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(sums)], names=schema.names)
+
+    sums = work.mapInArrow(run, schema).groupBy(*keys, "_b").agg(F.sum("_s").alias("_s"))
+    sizes = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    means = sums.join(sizes, list(keys)).select(*keys, (F.col("_s") / F.col("_n")).alias("_m"))
     limits = means.groupBy(*keys).agg(
         F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi")
     )

@@ -153,6 +153,13 @@ def split_leakage(assign: DataFrame, split: str = "split", group: str = "subject
     return counts.select(F.inline(F.array(*cells)))
 
 
+def split_classes(rows: DataFrame, split: str = "split", y: str = "y") -> DataFrame:
+    """(split, n, positives, both_classes): a split with one class can't be trained on or scored."""
+    counts = rows.groupBy(split).agg(F.count(y).alias("n"), F.sum((F.col(y) == 1).cast("bigint")).alias("positives"))
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    return counts.withColumn("both_classes", both.cast("int"))
+
+
 def extra_features(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Zero crossings (about the epoch mean) and peak-to-peak per epoch; keys include the epoch."""
     w = Window.partitionBy(*keys)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochwise.operators import evaluate, folds, models, ordering, prep
+from epochwise.operators import evaluate, folds, irls, isotonic, models, ordering, prep
 from epochwise.operators.models import Spec
 from epochwise.operators.selection import _weights, standardised
 from epochwise.session import discard, materialise
@@ -22,13 +21,13 @@ def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: S
     ``n_scored`` of ``n_rows`` rows have a score, ``folds_skipped`` folds have none.
 
     ``datasets`` maps a name to (stored rows, columns, protocols). The scored rows of all cells
-    are evaluated together at the end.
+    are evaluated together at the end. A model that isn't scaled has the same fits under every scaler; they are made once.
     """
     cells = [
         (name, scaler, spec, protocol)
         for name, (_, _, protocols) in datasets.items()
-        for scaler in scalers
         for spec in specs
+        for scaler in (scalers if getattr(spec, "scaled", True) else scalers[:1])
         for protocol in protocols
     ]
     failed: list[tuple] = []
@@ -56,10 +55,12 @@ def grid(datasets: dict[str, tuple[DataFrame, list[str], list[str]]], scalers: S
                 coverage.append((name, scaler, spec.name, protocol, scored.count(), at.count(), 0))
                 return scored
             scored = models.out_of_fold(at, at.cols, spec, scale=scaler, protocol=protocol, skip_one_class=True)
-            coverage.append((name, scaler, spec.name, protocol, scored.count(), at.count(), len(at.one_class())))
-            return scored.withColumns({"dataset": F.lit(name), "scaler": F.lit(scaler)})
+            same = [scaler] if spec.scaled else list(scalers)
+            coverage.extend((name, s, spec.name, protocol, scored.count(), at.count(), len(at.one_class())) for s in same)
+            return scored.withColumn("dataset", F.lit(name)).withColumn("scaler", F.explode(F.array(*map(F.lit, same))))
         except Exception as e:  # a failed cell is reported, the grid goes on
-            failed.append((name, scaler, spec.name, protocol, str(e)))
+            same = [scaler] if getattr(spec, "scaled", True) else list(scalers)
+            failed.extend((name, s, spec.name, protocol, str(e)) for s in same)
             return None
 
     parts = [p for p in models.concurrently([lambda c=c: run(c) for c in cells], parallel) if p is not None]
@@ -140,20 +141,29 @@ def calibrated(rows: DataFrame, cols: Sequence[str], spec: Spec, fold: str = "su
     """Out-of-fold scores with isotonic calibration fitted inside the training side.
 
     The training rows of a fold are scored by inner folds, the isotonic map is fitted on those,
-    then applied to the held-out scores.
+    then applied to the held-out scores. The maps of all folds are fitted together.
     """
     outer = models.out_of_fold(rows, cols, spec, fold=fold)
-    parts = []
-    for f in models.fold_ids(rows, fold):
-        train = folds.group_kfold(rows.filter(F.col(fold) != F.lit(f)), inner).withColumnRenamed("fold", "inner_fold")
-        train = materialise(train, "calib")
-        inside = models.out_of_fold(train, cols, spec, fold="inner_fold", skip_one_class=True)
-        iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(
-            inside.select("p", F.col("y").cast("double").alias("y"))
-        )
-        held = outer.filter(F.col("fold") == F.lit(str(f)))
-        parts.append(iso.transform(held))
-    return reduce(DataFrame.unionByName, parts)
+    # the inner fold of a subject doesn't depend on the outer one
+    nested = folds.group_kfold(rows.withColumnRenamed("fold", "_outer") if fold == "fold" else rows, inner)
+    nested = nested.withColumnRenamed("fold", "inner_fold")
+    fold = "_outer" if fold == "fold" else fold
+    nested, ids = materialise(nested, "calib"), models.fold_ids(rows, fold)
+    if spec.ridge is not None:
+        pairs = [(f, irls.Cell(((fold, str(f)), ("inner_fold", str(g))))) for f in ids for g in range(inner)]
+        fitted = irls.fit(nested, cols, [c for _, c in pairs], None, spec.ridge, spec.weighted)
+        scored = irls.score(nested, cols, [(c, m) for (_, c), m in zip(pairs, fitted)], ["y"])
+        names = F.array(*[F.lit(str(f)) for f, _ in pairs])
+        inside = materialise(scored.select(F.element_at(names, F.col("cell") + 1).alias("fold"), "p", "y"), "calib-scored")
+    else:
+        parts = []
+        for f in ids:
+            train = nested.filter(F.col(fold) != F.lit(f))
+            scored = models.out_of_fold(train, cols, spec, fold="inner_fold", skip_one_class=True)
+            parts.append(scored.select(F.lit(str(f)).alias("fold"), "p", "y"))
+        inside = reduce(DataFrame.unionByName, parts)
+    maps = materialise(isotonic.blocks(inside, ["fold"]), "calib-maps")
+    return isotonic.apply(outer, maps, ["fold"])
 
 
 def learning_curve(rows: DataFrame, cols: Sequence[str], spec: Spec, test_subjects: Sequence[str], sizes: Sequence[int], seed: str = "42") -> DataFrame:
@@ -185,7 +195,7 @@ def multiclass_oof(rows: DataFrame, cols: Sequence[str], k: int = 5, trees: int
     def run(f: int) -> DataFrame:
         train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
         rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="y", featuresCol="_x")
-        model = rf.fit(models.vectors(train, cols))
+        model = rf.fit(models.in_place(models.vectors(train, cols)))
         out = model.transform(models.vectors(test, cols))
         return out.select("id", "y", F.col("prediction").cast("int").alias("pred"))
 

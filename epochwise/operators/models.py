@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.operators import events, folds
+from epochwise.operators import events, folds, irls
 from epochwise.session import materialise
 
 #: Most folds of models that are fitted once per fold; a parameter of ``fold_ids`` and ``Prepared``.
@@ -34,13 +34,17 @@ MAX_FOLDS = 256
 
 @dataclass
 class Spec:
-    """A model: how to build the estimator, how to read its score, and what it needs."""
+    """A model: how to build the estimator, how to read its score, and what it needs.
+
+    ``ridge``: a logistic regression with this penalty, whose folds are all fitted at once (``irls``).
+    """
 
     name: str
     build: Callable[[int], object]
     weighted: bool = True
     balance_rows: bool = False
     scaled: bool = True
+    ridge: float | None = None
 
 
 @dataclass
@@ -70,6 +74,7 @@ def logistic(l1: float = 0.0, reg: float = 0.01, name: str = "logistic") -> Spec
         lambda d: LogisticRegression(
             elasticNetParam=l1, regParam=reg, maxIter=100, tol=1e-4, weightCol="_w", labelCol="y", featuresCol="_x"
         ),
+        ridge=reg if l1 == 0 else None,
     )
 
 
@@ -173,7 +178,12 @@ def vectors(rows: DataFrame, cols: Sequence[str], scale: dict | None = None) ->
 
 
 def fit(train: DataFrame, spec: Spec, d: int, weights: dict[int, float] | None = None, id_col: str = "id"):
-    """Fit on rows with ``_x`` and ``y``."""
+    """Fit on rows with ``_x`` and ``y``.
+
+    Spark's samples are drawn by the place of a row, and files aren't read in one order, so the rows are first put
+    in their places by id; a fit then repeats.
+    """
+    train = in_place(train, id_col)
     if spec.balance_rows:
         train = events.oversample(train, id_col)
     if spec.weighted:
@@ -183,6 +193,12 @@ def fit(train: DataFrame, spec: Spec, d: int, weights: dict[int, float] | None =
     return spec.build(d).fit(train)
 
 
+def in_place(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows in partitions and in an order that follow from their ids alone."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, id_col).sortWithinPartitions(id_col)
+
+
 def concurrently(tasks: list[Callable], parallel: int = 4) -> list:
     carry = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=parallel) as pool:
@@ -209,6 +225,9 @@ def out_of_fold(
     with ``skip_one_class`` the rows of ``Prepared.one_class()`` folds are, and no others.
     """
     ready = rows if isinstance(rows, Prepared) else Prepared(rows, cols, fold)
+    if spec.ridge is not None and select is None:
+        scored = _ridge(ready, cols, spec, id_col, scale, keep, skip_one_class)
+        return _checked(scored, ready, spec.name, protocol)
     stats = ready.scale(scale if spec.scaled else None)
 
     def run(f) -> DataFrame | None:
@@ -228,10 +247,26 @@ def out_of_fold(
     parts = [p for p in concurrently([lambda f=f: run(f) for f in ready.ids], parallel) if p is not None]
     if not parts:
         raise ValueError("no fold has two classes on its training side")
-    scored = reduce(DataFrame.unionByName, parts)
-    stored = materialise(
-        scored.withColumns({"model": F.lit(spec.name), "protocol": F.lit(protocol)}), f"scored-{spec.name}"
-    )
+    return _checked(reduce(DataFrame.unionByName, parts), ready, spec.name, protocol)
+
+
+def _ridge(ready: Prepared, cols: Sequence[str], spec: Spec, id_col: str, scale: str | None, keep: Sequence[str], skip_one_class: bool) -> DataFrame:
+    """(id, keep, fold, p) with the models of all folds from one scan per step."""
+    whole = [f for f in ready.ids if len(ready.weights.get(f, {})) == 2]
+    if len(whole) < len(ready.ids) and not skip_one_class or not whole:
+        raise ValueError("a fold's training side has one class only" if whole else "no fold has two classes on its training side")
+    cells = [irls.Cell(((ready.fold, "" if f is None else str(f)),)) for f in whole]
+    stats = ready.scale(scale)
+    scales = [tuple(zip(*[stats[f][c] if scale else (0.0, 1.0) for c in cols])) for f in whole]
+    fitted = irls.fit(ready.rows, cols, cells, scales, spec.ridge, spec.weighted)
+    out = [id_col, *[k for k in keep if k != id_col], ready.fold]
+    scored = irls.score(ready.rows, cols, list(zip(cells, fitted)), list(dict.fromkeys(out)))
+    return scored.withColumn("_fold", F.col(ready.fold).cast("string")).select(*out[:-1], F.col("_fold").alias("fold"), "p")
+
+
+def _checked(scored: DataFrame, ready: Prepared, name: str, protocol: str) -> DataFrame:
+    """The scored rows as a stored table; an error if a row that should have a score has none."""
+    stored = materialise(scored.withColumns({"model": F.lit(name), "protocol": F.lit(protocol)}), f"scored-{name}")
     got, skipped = stored.count(), ready.one_class()
     expect = ready.count() - (ready.rows.filter(F.col(ready.fold).isin(skipped)).count() if skipped else 0)
     if expect != got:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from epochwise.functions import stats
 from epochwise.functions.exprs import ratio, stack_columns
-from epochwise.operators import ordering
+from epochwise.operators import binning, ordering
 from epochwise.operators.attach import attach
 
 
@@ -31,6 +31,15 @@ def histogram(long: DataFrame, bins: int, key: str = "feature", value: str = "va
     return counts.select(key, cls, "bin", "n", ratio(F.col("n"), total * F.col("_w")).alias("density"))
 
 
+def column_histogram(rows: DataFrame, cols: Sequence[str], bins: int, cls: str = "y") -> DataFrame:
+    """``histogram`` of wide columns: (feature, cls, bin, n, density) from two scans, without a row per column."""
+    counts = binning.width_bins(rows, cols, cls, bins)
+    kind = rows.schema[cls].dataType
+    total = F.sum("n").over(Window.partitionBy("feature", "cls"))
+    density = ratio(F.col("n"), total * F.col("width"))
+    return counts.select("feature", F.col("cls").cast(kind).alias(cls), "bin", "n", density.alias("density"))
+
+
 def class_balance(rows: DataFrame, group: str = "subject") -> DataFrame:
     """Rows and positives per subject, and in total (null subject)."""
     return rows.rollup(group).agg(
@@ -150,6 +159,17 @@ def mutual_info_binned(rows: DataFrame, cols: Sequence[str], bins: int = 10) ->
     edges = edges.groupBy("feature").agg(F.sort_array(F.collect_list("x")).alias("_e"))
     placed = attach(long, edges, ["feature"]).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("value"))))
     joint = placed.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    return _information(joint)
+
+
+def column_mutual_info(rows: DataFrame, cols: Sequence[str], bins: int = 10, y: str = "y") -> DataFrame:
+    """``mutual_info_binned`` from two scans of the wide rows, without a row per column."""
+    counts = binning.quantile_bins(rows, cols, y, bins)
+    return _information(counts.select("feature", "bin", F.col("cls").alias("y"), F.col("n").cast("double").alias("c")))
+
+
+def _information(joint: DataFrame) -> DataFrame:
+    """(feature, mutual_info_binned) of counts (feature, bin, y, c)."""
     n = F.sum("c").over(Window.partitionBy("feature"))
     nb = F.sum("c").over(Window.partitionBy("feature", "bin"))
     ny = F.sum("c").over(Window.partitionBy("feature", "y"))
@@ -173,6 +193,16 @@ def prune_correlated(rows: DataFrame, cols: Sequence[str], limit: float = 0.9) -
     return kept
 
 
+def column_robust_stats(rows: DataFrame, cols: Sequence[str], key: str = "channel") -> DataFrame:
+    """``robust_stats`` of wide columns: (key, mean, sd, n, median, iqr); quantiles exact, without a row per column."""
+    wide = rows.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in cols])
+    parts = [F.struct(F.lit(c).alias(key), F.col(c)["mean"].alias("mean"), F.col(c)["sd"].alias("sd")) for c in cols]
+    q = binning.column_quantiles(rows, cols, [0.25, 0.5, 0.75]).withColumnRenamed("feature", key)
+    at = lambda p: F.max(F.when(F.col("q") == p, F.col("x")))
+    found = q.groupBy(key).agg(F.max("n").alias("n"), at(0.5).alias("median"), (at(0.75) - at(0.25)).alias("iqr"))
+    return wide.select(F.inline(F.array(*parts))).join(found, key)
+
+
 def robust_stats(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """n, mean, sd, median and interquartile range per key, quantiles exact."""
     base = long.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

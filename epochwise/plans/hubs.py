@@ -216,10 +216,10 @@ _VIEWS: dict[str, tuple[list[str], str]] = {
         + " FROM embeddings",
     ),
     "emb_long": (
-        ["emb"],
-        " UNION ALL ".join(
-            f"SELECT id, subject, cls, y, '{c}' AS feature, {c} AS value FROM emb" for c in FEATS
-        ),
+        [],
+        f"""SELECT vec_id AS id, 's' || CAST(vec_id % {SUBJECT_GROUPS} AS VARCHAR) AS subject, label AS cls, CAST(label = 0 AS INT) AS y,
+        'f' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS value
+        FROM embeddings, unnest(generate_series(1, {len(FEATS)})) AS g(i)""",
     ),
     "raw": (
         [],

@@ -183,7 +183,7 @@ def cohens_d(t: Hub):
         v="""SELECT model, protocol, d AS v, row_number() OVER (PARTITION BY model, protocol ORDER BY subject) - 1 AS j,
         count(*) OVER (PARTITION BY model, protocol) AS n FROM auc_diffs""",
         dr="""SELECT model, protocol, b, CAST('0x' || substr(md5('7:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8)
-        AS BIGINT) % n AS j FROM v, unnest(generate_series(0, 499)) AS g(b)""",
+        AS BIGINT) % n AS j FROM v, unnest(generate_series(0, 1999)) AS g(b)""",
         m="""SELECT dr.model, dr.protocol, b, avg(v.v) AS m FROM dr JOIN v ON dr.model = v.model AND dr.protocol = v.protocol
         AND dr.j = v.j GROUP BY ALL""",
     )
@@ -193,7 +193,7 @@ def cohens_d(t: Hub):
 def paired_bootstrap(t: Hub):
     auc = evaluate.roc_auc(t.scored, ["model", "protocol", "subject"]).filter("auc IS NOT NULL")
     diffs = compare.paired(auc, ["protocol"], value="auc")
-    out = compare.bootstrap(diffs, ["model", "protocol"], value="d", resamples=500, seed="7")
+    out = compare.bootstrap(diffs, ["model", "protocol"], value="d", seed="7")
     return out.select("model", "protocol", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -220,6 +220,24 @@ def splits_frame(t: Hub):
     return folds.group_kfold(subjects, 5).select("subject", split.alias("split"))
 
 
+@query(
+    "split_classes",
+    with_views(
+        s=_SPLITS,
+        r="SELECT s.split, CAST(event_type = 'error' AND value > 150 AS INT) AS y FROM events e JOIN s ON CAST(e.user_id AS VARCHAR) = s.subject",
+    )
+    + """SELECT split, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, CAST(sum(y) > 0 AND sum(y) < count(*) AS INT) AS both_classes FROM r
+    GROUP BY split""",
+)
+def split_classes(t: Hub):
+    """Both classes in every split; the split of a row follows from its subject."""
+    y = ((F.col("event_type") == "error") & (F.col("value") > 150)).cast("int")
+    rows = t.table("events").select(F.col("user_id").cast("string").alias("subject"), y.alias("y"))
+    f = F.col("fold")
+    split = F.when(f < 3, "train").when(f == 3, "validation").otherwise("test")
+    return events.split_classes(folds.group_kfold(rows, 5).withColumn("split", split))
+
+
 @query(
     "split_leakage",
     with_views(
@@ -244,8 +262,7 @@ def split_leakage(t: Hub):
     FROM samples GROUP BY channel""",
 )
 def robust_stats(t: Hub):
-    long = prep.to_long(t.wide, ["subject"], CHANNELS)
-    out = profile.robust_stats(long, ["channel"])
+    out = profile.column_robust_stats(t.wide, CHANNELS)
     return out.select(
         "channel", "n", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), F.round("median", 6).alias("median"), F.round("iqr", 6).alias("iqr")
     )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from epochwise import session
 from epochwise.functions import dsp
 from epochwise.functions.constants import FEATURES
 from epochwise.operators import folds, ordering, prep
 from epochwise.plans.hubs import EPOCH_N, FEATS, Hub, with_views
 from epochwise.plans.registry import query
+from epochwise.sources import ingest
 from epochwise.sources import samples as src
 
 HOURS8 = 28800
@@ -34,6 +36,29 @@ def scan_samples(t: Hub):
     )
 
 
+@query(
+    "ingest_samples",
+    with_views("samples")
+    + """SELECT channel, count(*) AS n, count(DISTINCT subject) AS subjects, round(sum(value), 4) AS total,
+    round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM samples GROUP BY channel""",
+)
+def ingest_samples(t: Hub):
+    """Samples written as files, validated against the ledger and read back; a second validation finds nothing new."""
+    folder, ledger = session.scratch_path(t.spark, "samples"), session.scratch_path(t.spark, "ingest-ledger")
+    t.samples.select(*[F.col(f.name).cast(f.dataType) for f in src.SAMPLES.fields]).write.parquet(folder)
+    rows = ingest.read_samples(t.spark, folder, ledger)
+    again = ingest.validate(t.spark, folder, ledger)
+    if again:
+        raise RuntimeError(f"{again} files were validated twice")
+    return rows.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("subject").alias("subjects"),
+        F.round(F.sum("value"), 4).alias("total"),
+        F.round(F.min("value"), 6).alias("lo"),
+        F.round(F.max("value"), 6).alias("hi"),
+    )
+
+
 @query(
     "scan_segments",
     with_views("raw")
@@ -97,6 +122,34 @@ def bandpass(t: Hub):
     return out.select(*KEYS_CH, "idx", F.round("value", 6).alias("value"))
 
 
+WIDE_TAPS = dsp.bandpass_taps(128, 0.5, 40.0, 256.0)
+
+
+@query(
+    "bandpass_wide",
+    with_views(
+        "samples",
+        kern=f"SELECT unnest([{', '.join(repr(v) if 'e' in repr(v) else repr(v) + 'e0' for v in WIDE_TAPS)}]) AS h, unnest(generate_series(-128, 128)) AS k",
+        conv="""SELECT s.subject, s.recording, s.channel, s.idx + kern.k AS idx, sum(s.value * kern.h) AS v FROM samples s, kern GROUP BY ALL""",
+    )
+    + """SELECT s.channel, s.recording, s.subject, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS lo,
+    round(max(v), 6) AS hi FROM samples s JOIN conv c ON s.subject = c.subject AND s.recording = c.recording AND s.channel = c.channel
+    AND s.idx = c.idx GROUP BY ALL""",
+)
+def bandpass_wide(t: Hub):
+    """The published band, 0.5 to 40 Hz at 256 samples a second, with 257 taps; figures per recording and channel."""
+    from epochwise.operators import signal
+
+    out = signal.fir(t.samples, KEYS_CH, WIDE_TAPS, block=1024)
+    return out.groupBy(*KEYS_CH).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.stddev_pop("value"), 6).alias("sd"),
+        F.round(F.min("value"), 6).alias("lo"),
+        F.round(F.max("value"), 6).alias("hi"),
+    )
+
+
 @query(
     "resample",
     with_views("samples", filtered=_FILTERED)

@@ -7,7 +7,6 @@ import json
 from pyspark.sql import functions as F
 
 from epochwise.functions.constants import PSI_ALERT, SENSITIVITY_ALERT
-from epochwise.functions.exprs import stack_columns
 from epochwise.operators import drift, evaluate, prep, profile
 from epochwise.plans.hubs import CHANNELS, EPOCH_N, FEATS, NPERSEG, RATE, Hub, add_view, with_views
 from epochwise.plans.registry import query
@@ -124,7 +123,7 @@ add_view(
 
 @query("mutual_info_binned", with_views("mi") + "SELECT feature, round(mi, 6) AS mutual_info_binned FROM mi")
 def mutual_info_binned(t: Hub):
-    out = profile.mutual_info_binned(t.emb, FEATS, MI_BINS)
+    out = profile.column_mutual_info(t.emb, FEATS, MI_BINS)
     return out.withColumn("mutual_info_binned", F.round("mutual_info_binned", 6))
 
 
@@ -151,7 +150,7 @@ def pearson_p(t: Hub):
 )
 def feature_rank(t: Hub):
     scores = profile.anova(t.emb, FEATS, with_p=False).select("feature", "f").join(
-        profile.mutual_info_binned(t.emb, FEATS, MI_BINS), "feature"
+        profile.column_mutual_info(t.emb, FEATS, MI_BINS), "feature"
     )
     # one row per feature column
     ranked = profile.rank_features(profile.rank_features(scores, "f", "rank_f"), "mutual_info_binned", "rank_mi")
@@ -210,12 +209,11 @@ add_view("psi_emb", ["drift_emb"], psi_sql("drift_emb"))
 
 
 def _drift_events(t: Hub):
-    long = prep.to_long(t.wide, ["off_s"], CHANNELS).withColumnRenamed("channel", "feature")
-    return long.select("feature", "value", F.when(F.col("off_s") < 1209600, "ref").otherwise("cur").alias("win"))
+    return t.wide.select(*CHANNELS, F.when(F.col("off_s") < 1209600, "ref").otherwise("cur").alias("win"))
 
 
 def _drift_emb(t: Hub):
-    return drift.split_windows(t.emb).select("win", stack_columns(FEATS))
+    return drift.split_windows(t.emb).select("win", *FEATS)
 
 
 @query("drift_windows", with_views("emb_win") + "SELECT id, subject, win FROM emb_win")
@@ -225,12 +223,12 @@ def drift_windows(t: Hub):
 
 @query("psi", with_views("psi_events") + "SELECT feature, round(psi, 6) AS psi FROM psi_events")
 def psi(t: Hub):
-    return drift.psi(_drift_events(t)).withColumn("psi", F.round("psi", 6))
+    return drift.column_psi(_drift_events(t), CHANNELS).withColumn("psi", F.round("psi", 6))
 
 
 @query("psi_features", with_views("psi_emb") + "SELECT feature, round(psi, 6) AS psi FROM psi_emb")
 def psi_features(t: Hub):
-    return drift.psi(_drift_emb(t)).withColumn("psi", F.round("psi", 6))
+    return drift.column_psi(_drift_emb(t), FEATS).withColumn("psi", F.round("psi", 6))
 
 
 add_view(
@@ -247,12 +245,12 @@ add_view(
     + "SELECT round(psi_max, 6) AS psi_max, round(psi_mean, 6) AS psi_mean, n_drifted, drift_alert FROM psi_sum",
 )
 def psi_summary(t: Hub):
-    out = drift.psi_summary(drift.psi(_drift_emb(t)))
+    out = drift.psi_summary(drift.column_psi(_drift_emb(t), FEATS))
     return out.select(F.round("psi_max", 6).alias("psi_max"), F.round("psi_mean", 6).alias("psi_mean"), "n_drifted", "drift_alert")
 
 
 def alerts_frame(t: Hub):
-    summary = drift.psi_summary(drift.psi(_drift_emb(t)))
+    summary = drift.psi_summary(drift.column_psi(_drift_emb(t), FEATS))
     macro = evaluate.macro(evaluate.per_subject(t.scored))
     return drift.alerts(summary, macro)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from epochwise.functions import dsp
 from epochwise.functions.constants import BANDS, CHANNEL_FEATURES, FEATURES, NEGATIVES_PER_POSITIVE, SEGMENT_RATE
-from epochwise.functions.exprs import stack_columns
 from epochwise.operators import prep, profile, signal
 from epochwise.plans.hubs import EPOCH_N, FEATS, NPERSEG, RATE, Hub, add_view, with_views
 from epochwise.plans.q_prepare import _FILTERED, TAPS
@@ -318,7 +318,28 @@ def cwt(t: Hub):
     return out.select("id", "scale", "t", F.round("mag", 6).alias("mag"))
 
 
-@query("cwt_all_scales")
+def _cwt_energy_sql(scales: int = 63) -> str:
+    """The kernels by their rule: the wavelet's running sum on a grid, picked at each scale's places and differenced."""
+    step = float(np.linspace(-8.0, 8.0, 1024)[1] + 8.0)
+    return (
+        with_views(
+            "raw",
+            prim=f"""SELECT j, sum(exp(-x * x / 2) * cos(5 * x)) OVER (ORDER BY j) * {step!r}e0 AS p
+            FROM (SELECT j, -8.0e0 + j * {step!r}e0 AS x FROM generate_series(0, 1023) AS g(j))""",
+            pick=f"""SELECT s, k, CAST(floor(k / (s * {step!r}e0)) AS BIGINT) AS j, count(*) OVER (PARTITION BY s) AS n
+            FROM generate_series(1, {scales}) AS a(s), unnest(generate_series(0, 16 * s)) AS b(k) WHERE floor(k / (s * {step!r}e0)) < 1024""",
+            stretched="SELECT s, n, n - 1 - k AS m, p FROM pick JOIN prim ON pick.j = prim.j",
+            kern="""SELECT s, m - CAST(floor((n - 2) / 2.0e0) AS BIGINT) - 1 AS m, -sqrt(s) * d AS h FROM (
+            SELECT s, n, m, p - coalesce(lag(p) OVER (PARTITION BY s ORDER BY m), 0) AS d FROM stretched
+            UNION ALL SELECT s, n, n, -p FROM stretched WHERE m = n - 1)""",
+            mag="""SELECT id, s, i + m AS t, sum(x * h) AS v FROM raw JOIN kern ON i + m BETWEEN 0 AND 63 AND m BETWEEN -63 AND 63
+            GROUP BY id, s, i + m""",
+        )
+        + "SELECT id, CAST(s AS BIGINT) AS scale, round(sum(v * v) / 64, 6) AS energy FROM mag GROUP BY id, s"
+    )
+
+
+@query("cwt_all_scales", _cwt_energy_sql())
 def cwt_all_scales(t: Hub):
     """All 63 scales, reduced to energy per scale."""
     out = signal.cwt(t.raw_segments.select("id", "x"), RAW_LEN, range(1, 64))
@@ -333,11 +354,29 @@ def cwt_all_scales(t: Hub):
     max((hi - lo) / 40) AS width FROM emb_long e JOIN r ON e.feature = r.feature GROUP BY ALL)""",
 )
 def histogram(t: Hub):
-    long = t.emb.select("y", stack_columns(FEATS))
-    out = profile.histogram(long, 40)
+    out = profile.column_histogram(t.emb, FEATS, 40)
     return out.select("feature", "y", "bin", "n", F.round("density", 6).alias("density"))
 
 
+@query(
+    "before_after_scaling",
+    with_views("emb_long", m="SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM emb_long GROUP BY feature")
+    + """SELECT e.feature, round(min(value), 5) AS raw_lo, round(max(value), 5) AS raw_hi, round(avg(value), 5) AS raw_mean,
+    round(stddev_pop(value), 5) AS raw_sd, round(min((value - m) / s), 5) AS scaled_lo, round(max((value - m) / s), 5) AS scaled_hi,
+    abs(round(avg((value - m) / s), 5)) AS scaled_mean, round(stddev_pop((value - m) / s), 5) AS scaled_sd
+    FROM emb_long e JOIN m ON e.feature = m.feature GROUP BY e.feature""",
+)
+def before_after_scaling(t: Hub):
+    """Raw against standardised columns: one aggregate gives the moments, another both sides' ranges and spreads."""
+    found = t.emb.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in FEATS]).first()
+    both = t.emb.select(*FEATS, *[((F.col(c) - found[c]["m"]) / found[c]["s"]).alias(f"{c}_z") for c in FEATS])
+    parts = {"lo": F.min, "hi": F.max, "mean": F.avg, "sd": F.stddev_pop}
+    wide = both.agg(*[fn(f"{c}{z}").alias(f"{c}{z}_{p}") for c in FEATS for z in ("", "_z") for p, fn in parts.items()])
+    side = lambda c, z, name: [F.round(F.col(f"{c}{z}_{p}"), 5).alias(f"{name}_{p}") for p in parts]
+    out = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *side(c, "", "raw"), *side(c, "_z", "scaled")) for c in FEATS])))
+    return out.withColumn("scaled_mean", F.abs("scaled_mean"))
+
+
 @query(
     "band_by_class",
     with_views("epfeat")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochwise import session
 from epochwise.functions.exprs import METRICS
-from epochwise.operators import evaluate, ordering, prep, profile, retrieval
+from epochwise.operators import evaluate, ordering, profile, retrieval, text_index
 from epochwise.plans import q_evaluate, q_profile  # noqa: F401  their SQL views are used here
 from epochwise.plans.hubs import CHANNELS, FEATS, Hub, add_view, with_views
 from epochwise.plans.q_events import splits_frame
@@ -183,8 +183,7 @@ def audit_append(t: Hub):
 )
 def norm_stats(t: Hub):
     """Channel statistics through their nested JSON form."""
-    long = prep.to_long(t.wide, ["subject"], CHANNELS)
-    rows = files.norm_stats_rows(files.norm_stats_json(profile.robust_stats(long, ["channel"])))
+    rows = files.norm_stats_rows(files.norm_stats_json(profile.column_robust_stats(t.wide, CHANNELS)))
     return rows.select(
         "channel", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("median", 6).alias("median"), F.round("iqr", 6).alias("iqr"), "n_samples"
     )
@@ -279,6 +278,12 @@ def corpus_of(t: Hub):
     return t.table("documents").select("doc_id", "text")
 
 
+def index_of(t: Hub) -> text_index.TextIndex:
+    """The stored index of this version of the documents; the first query that needs it builds it."""
+    version = text_index.corpus_version(t.spark, f"{t.dir}/documents.parquet", STOPS)
+    return text_index.open_index(corpus_of(t), f"{session.session_dir(t.spark)}/text-index/{version}", STOPS)
+
+
 def query_text(t: Hub) -> str:
     """One text: the first benchmark item."""
     return t.table("benchmark").agg(F.min_by("text", "item_id")).first()[0]
@@ -301,15 +306,32 @@ def tokens(t: Hub):
     )
 
 
+@query(
+    "text_index",
+    with_views("tf", d="SELECT term, count(*) AS df, sum(tf) AS n FROM tf GROUP BY term")
+    + """SELECT df, count(*) AS terms, CAST(sum(n) AS BIGINT) AS occurrences, sum(length(term)) AS letters FROM d GROUP BY df""",
+)
+def text_index_facts(t: Hub):
+    """The stored postings by how many documents a term is in: they hold every term of every document once."""
+    postings = index_of(t).table("postings")
+    each = postings.select("term", "df", F.size("entries").alias("docs"), F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + e["tf"]).alias("n"))
+    per = each.groupBy("term").agg(F.sum("docs").alias("df"), F.sum("n").alias("n"), F.min("df").alias("_lo"), F.max("df").alias("_hi"))
+    wrong = F.raise_error(F.lit("a term's stored frequency differs from its postings")).cast("bigint")
+    df = F.when((F.col("_lo") == F.col("df")) & (F.col("_hi") == F.col("df")), F.col("df")).otherwise(wrong)
+    return per.select(df.alias("df"), "n", F.length("term").cast("bigint").alias("l")).groupBy("df").agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("n").alias("occurrences"), F.sum("l").alias("letters")
+    )
+
+
 @query("tfidf", with_views("docw") + "SELECT doc_id, terms, round(norm, 5) AS norm, round(mx / norm, 6) AS max_w FROM docw")
 def tfidf(t: Hub):
-    out = retrieval.tfidf(corpus_of(t), query_text(t), STOPS)
+    out = text_index.tfidf(index_of(t), query_text(t), corpus_of(t))
     return out.select("doc_id", "terms", F.round("norm", 5).alias("norm"), F.round("max_w", 6).alias("max_w"))
 
 
 @query("cosine", with_views("cosine") + "SELECT doc_id, round(cos, 6) AS cos FROM cosine")
 def cosine(t: Hub):
-    return retrieval.cosine(corpus_of(t), query_text(t), STOPS).withColumn("cos", F.round("cos", 6))
+    return text_index.cosine(index_of(t), query_text(t)).withColumn("cos", F.round("cos", 6))
 
 
 @query("keyword_bonus", with_views("kw") + "SELECT doc_id, round(kw, 6) AS kw FROM kw")
@@ -322,7 +344,7 @@ def keyword_bonus(t: Hub):
     with_views("best") + "SELECT doc_id, round(cos, 6) AS cos, round(kw, 6) AS kw, round(score, 6) AS score FROM best",
 )
 def hybrid_topk(t: Hub):
-    out = retrieval.hybrid_topk(corpus_of(t), query_text(t), STOPS, 5)
+    out = text_index.hybrid_topk(index_of(t), query_text(t), 5)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("cos", "kw", "score")])
 
 
@@ -342,7 +364,7 @@ def report_facts(t: Hub):
     metric = pooled.select(*names).unpivot([], names, "item", "value").select(F.lit("metric").alias("section"), "item", "value")
     top = profile.rank_features(profile.anova(t.emb, FEATS, with_p=False), "f", "rank", 5)
     feature = top.select(F.lit("feature").alias("section"), F.col("feature").alias("item"), F.col("f").alias("value"))
-    best = retrieval.hybrid_topk(corpus_of(t), query_text(t), STOPS, 5)
+    best = text_index.hybrid_topk(index_of(t), query_text(t), 5)
     evidence = best.select(
         F.lit("evidence").alias("section"), F.col("doc_id").cast("string").alias("item"), F.col("score").alias("value")
     )

@@ -141,3 +141,39 @@ def test_manifest_and_norm_stats(spark, tmp_path):
     row = files.norm_stats_rows(files.norm_stats_json(profile.robust_stats(long, ["channel"]))).first()
     assert (row.median, row.iqr, row.n_samples) == (3.0, 2.0, 5)
     assert row["mean"] == pytest.approx(22.0)
+
+
+def test_ledger_validates_each_file_once(spark, tmp_path):
+    from epochwise.sources import ingest
+
+    folder, ledger = tmp_path / "d", str(tmp_path / "ledger")
+    spark.createDataFrame([("s", "r", "c", 0, 1.0)], samples.SAMPLES).coalesce(1).write.parquet(str(folder))
+    assert ingest.validate(spark, str(folder), ledger) == 1 and ingest.validate(spark, str(folder), ledger) == 0
+    (folder / "bad.parquet").write_bytes(b"not parquet at all")
+    n = 40_000
+    table = pa.table({"subject": ["s"] * n, "recording": ["half"] * n, "channel": ["c"] * n, "idx": range(n), "value": [float(i * 37 % 1009) for i in range(n)]})
+    half = folder / "half.parquet"
+    pq.write_table(table, half, row_group_size=5000, compression="snappy", use_dictionary=False)
+    whole = half.read_bytes()
+    at = pq.ParquetFile(half).metadata.row_group(5).column(4).data_page_offset
+    half.write_bytes(whole[:at] + b"\xff" * 400 + whole[at + 400 :])
+    assert ingest.read_samples(spark, str(folder), ledger).count() == 1
+    bad = {os.path.basename(r.path): (r.reason, r.lost) for r in ingest.damaged(spark, str(folder), ledger).collect()}
+    assert bad["bad.parquet"] == ("no rows", None)
+    assert bad["half.parquet"][0] == "rows missing" and 0 < bad["half.parquet"][1] <= n
+    assert ingest.validate(spark, str(folder), ledger) == 0
+    # the same file, mended: another version of it
+    half.write_bytes(whole)
+    os.utime(half, (1, 1))
+    assert ingest.validate(spark, str(folder), ledger) == 1
+    assert ingest.read_samples(spark, str(folder), ledger).count() == n + 1
+    assert [os.path.basename(r.path) for r in ingest.damaged(spark, str(folder), ledger).collect()] == ["bad.parquet"]
+
+
+def test_unreadable_text_files_are_found_among_many(spark, tmp_path):
+    packed = gzip.compress(b"some line\n" * 5000)
+    for i in range(9):
+        (tmp_path / f"f{i}.gz").write_bytes(packed if i not in (2, 7) else packed[:-12])
+    found = samples.unreadable(spark, [str(tmp_path / f"f{i}.gz") for i in range(9)])
+    assert [os.path.basename(p) for p in found] == ["f2.gz", "f7.gz"]
+    assert samples.unreadable(spark, []) == []
