@@ -71,33 +71,36 @@ FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.last AND
 OP13_SQL = rf"""
 WITH RECURSIVE {CRC_TABLE}, split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), written AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM split
 ), hashed AS (
-  SELECT doc_id, w, len(w) AS n, {crc_sql("doc_id::VARCHAR")} AS h FROM split, tab
+  SELECT doc_id, len(w) AS n, {crc_sql("doc_id::VARCHAR")} AS h FROM split, tab
 ), placed AS (
-  SELECT doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, (h // 10) % 8 AS e FROM hashed
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, (h // 10) % 8 AS e FROM hashed
 ), moved AS (
-  SELECT doc_id, w, a, 1 + (n - a) // (3 + e) AS p, unnest(range(n)) AS i FROM placed
+  SELECT doc_id, a, 1 + (n - a) // (3 + e) AS p, unnest(range(n)) AS i FROM placed
 ), tokens AS MATERIALIZED (
-  SELECT doc_id, i, w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS w FROM moved
+  SELECT m.doc_id, m.i, t.w
+  FROM moved m JOIN written t ON t.doc_id = m.doc_id AND t.i = CASE WHEN m.i >= a THEN a + (m.i - a) % p ELSE m.i END
 ), periods AS (
   SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM placed
 ), anchors AS (
   SELECT doc_id, q, unnest(range(0, n - 3 * q, q)) AS x FROM periods
-), possible AS (
-  -- a run of four periods has its word at four multiples of the period in a row, and its next word at three
-  SELECT DISTINCT t.doc_id, t.q
-  FROM anchors t
+), pair AS MATERIALIZED (
+  -- a run of four periods has its word at four multiples of the period in a row
+  SELECT t.doc_id, t.q, t.x, a.w FROM anchors t
   JOIN tokens a ON a.doc_id = t.doc_id AND a.i = t.x
-  JOIN tokens b ON b.doc_id = t.doc_id AND b.i = t.x + t.q AND b.w = a.w
-  JOIN tokens c ON c.doc_id = t.doc_id AND c.i = t.x + 2 * t.q AND c.w = a.w
-  JOIN tokens d ON d.doc_id = t.doc_id AND d.i = t.x + 3 * t.q AND d.w = a.w
-  JOIN tokens f ON f.doc_id = t.doc_id AND f.i = t.x + 1
-  JOIN tokens g ON g.doc_id = t.doc_id AND g.i = t.x + t.q + 1 AND g.w = f.w
-  JOIN tokens k ON k.doc_id = t.doc_id AND k.i = t.x + 2 * t.q + 1 AND k.w = f.w
+  JOIN tokens b ON b.doc_id = t.doc_id AND b.i = t.x + t.q
+  WHERE (a.w = b.w) IS TRUE
+), triple AS MATERIALIZED (
+  SELECT p.* FROM pair p JOIN tokens c ON c.doc_id = p.doc_id AND c.i = p.x + 2 * p.q WHERE (c.w = p.w) IS TRUE
+), possible AS MATERIALIZED (
+  SELECT DISTINCT p.doc_id, p.q FROM triple p JOIN tokens d ON d.doc_id = p.doc_id AND d.i = p.x + 3 * p.q WHERE (d.w = p.w) IS TRUE
+), shifted AS MATERIALIZED (
+  SELECT p.doc_id, p.q, a.i, a.w FROM possible p JOIN tokens a ON a.doc_id = p.doc_id
 ), equal AS (
-  SELECT p.doc_id, p.q, a.i, a.i - row_number() OVER (PARTITION BY p.doc_id, p.q ORDER BY a.i) AS island
-  FROM possible p JOIN tokens a ON a.doc_id = p.doc_id
-  JOIN tokens b ON b.doc_id = a.doc_id AND b.i = a.i + p.q AND b.w = a.w
+  SELECT s.doc_id, s.q, s.i, s.i - row_number() OVER (PARTITION BY s.doc_id, s.q ORDER BY s.i) AS island
+  FROM shifted s JOIN tokens b ON b.doc_id = s.doc_id AND b.i = s.i + s.q WHERE (b.w = s.w) IS TRUE
 ), stretches AS (
   SELECT doc_id, q, min(i) AS s, count(*) + q AS size FROM equal GROUP BY doc_id, q, island
 ), runs AS MATERIALIZED (
