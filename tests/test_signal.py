@@ -66,3 +66,20 @@ def test_filter_takes_gaps_as_zero(spark):
     rows = long_rows(spark, {"a": np.ones(10)}).filter("idx <> 4")
     got = signal.fir(rows, ["subject", "recording", "channel"], [1.0, 1.0, 1.0], block=4).orderBy("idx").collect()
     assert [(r.idx, r.value) for r in got] == [(0, 2.0), (1, 3.0), (2, 3.0), (3, 2.0), (5, 2.0), (6, 3.0), (7, 3.0), (8, 3.0), (9, 2.0)]
+
+
+def test_cwt_gives_long_rows_back_in_strips():
+    """A batch of many segments doesn't become one batch that is as many times larger as there are scales."""
+    import numpy as np
+    import pyarrow as pa
+
+    from epochwise.functions import dsp
+
+    x = np.random.RandomState(3).randn(1000, 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), dsp.matrix_to_lists(x)], names=["id", "_x"])
+    out = list(dsp.cwt_batches([1, 2, 4])(iter([batch])))
+    assert max(b.num_rows for b in out) == 256 and sum(b.num_rows for b in out) == 1000
+    got = np.concatenate([dsp.lists_to_matrix(b.column(1)) for b in out])
+    want = np.concatenate([dsp.cwt_matrix(x, k) for k in dsp.morlet_kernels([1, 2, 4]).values()], axis=1)
+    assert np.allclose(got, want, atol=1e-12)
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(1000))
