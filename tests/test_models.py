@@ -149,3 +149,40 @@ def test_queries_keep_no_fitted_results(hub, monkeypatch):
         q_models.out_of_fold(hub, q_models.SPECS["logistic"])
         q_models.active(hub, "uncertainty")
     assert fits == ["oof", "active"] * 2
+
+
+def test_fit_partitions_follow_the_rows(spark, rows):
+    """More shuffle partitions don't make a fit of few rows dearer, nor another one."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "200")
+        many = models.in_place(rows)
+        assert many.rdd.getNumPartitions() == models.FIT_PARTS
+        spark.conf.set(key, "4")
+        assert models.in_place(rows).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_neighbour_groups_are_bounded_and_whole():
+    pivots = np.arange(12.0)[:, None]
+    held = np.array([5, 3, 40, 1, 1, 1, 9, 9, 9, 2, 2, 2])
+    place = knn._groups(pivots, held, 20)
+    among = np.bincount(place, held)
+    assert among.sum() == held.sum() and len(set(place)) < len(held)
+    assert all(n <= 20 or (place == g).sum() == 1 for g, n in enumerate(among))
+    assert knn._groups(np.zeros((1, 1)), np.array([7]), 20).tolist() == [0]
+
+
+def test_neighbours_travel_once_per_group(spark, monkeypatch):
+    """Rows of one cloud see all cells, but only one tile."""
+    rng = np.random.RandomState(5)
+    pdf = pd.DataFrame(rng.rand(400, 3), columns=COLS).assign(id=np.arange(400), subject=[f"s{i % 4}" for i in range(400)], y=0)
+    stored = []
+    keep = knn.materialise
+    monkeypatch.setattr(knn, "materialise", lambda df, label: stored.append((label, keep(df, label))) or stored[-1][1])
+    found = knn.neighbours(spark.createDataFrame(pdf), COLS, 5).count()
+    assert found == 2000
+    assert dict(stored)["knn-load"].count() == 1
+    assert dict(stored)["knn-visits"].count() == 400
