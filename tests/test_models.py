@@ -168,11 +168,13 @@ def test_fit_partitions_follow_the_rows(spark, rows):
 def test_neighbour_groups_are_bounded_and_whole():
     pivots = np.arange(12.0)[:, None]
     held = np.array([5, 3, 40, 1, 1, 1, 9, 9, 9, 2, 2, 2])
-    place = knn._groups(pivots, held, 20)
+    place = knn._groups(pivots, held, 20, np.zeros(12, bool))
     among = np.bincount(place, held)
     assert among.sum() == held.sum() and len(set(place)) < len(held)
     assert all(n <= 20 or (place == g).sum() == 1 for g, n in enumerate(among))
-    assert knn._groups(np.zeros((1, 1)), np.array([7]), 20).tolist() == [0]
+    assert knn._groups(np.zeros((1, 1)), np.array([7]), 20, np.zeros(1, bool)).tolist() == [0]
+    alone = knn._groups(pivots, held, 100, np.arange(12) == 0)
+    assert (alone == alone[0]).sum() == 1 and len(set(alone)) == 2
 
 
 def test_neighbours_travel_once_per_group(spark, monkeypatch):
