@@ -1,8 +1,11 @@
 """Out-of-fold scoring, closed forms, neighbours and selection on small separable data."""
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from epochwise.operators import closed_form, evaluate, experiments, knn, models, selection
@@ -188,3 +191,47 @@ def test_neighbours_travel_once_per_group(spark, monkeypatch):
     assert found == 2000
     assert dict(stored)["knn-load"].count() == 1
     assert dict(stored)["knn-visits"].count() == 400
+
+
+class Probe:
+    """An estimator that tells what it was given."""
+
+    def fit(self, train):
+        return train.rdd.getNumPartitions(), train.count(), train.agg(F.sum("y")).first()[0]
+
+
+@pytest.mark.parametrize("spec", [models.random_forest(), models.boosting(), models.perceptron()], ids=lambda s: s.name)
+def test_few_rows_are_fitted_in_few_partitions(spark, rows, spec):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    x = models.vectors(rows, COLS)
+    positives = rows.agg(F.sum("y")).first()[0]
+    n, wins = (2 * (240 - positives), 240 - positives) if spec.balance_rows else (240, positives)
+    probed = dataclasses.replace(spec, build=lambda d: Probe())
+    assert models.fit(x, probed, 3, {0: 1.0, 1: 1.0}) == (1, n, wins)
+    small = dataclasses.replace(probed, rows=100)
+    assert models.fit(x, small, 3, {0: 1.0, 1: 1.0}) == (-(-n // 100), n, wins)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_a_forest_in_pieces_is_one_model(rows, monkeypatch):
+    """Every tree votes once, and a second fit gives the same trees."""
+    monkeypatch.setattr(models, "PIECE_TREES", 4)
+    spec, x = models.random_forest(10, 3), models.vectors(rows, COLS)
+    model = models.fit(x, spec, 3, {0: 1.0, 1: 1.0})
+    assert [p.getNumTrees for p in model.pieces] == [4, 3, 3]
+    got = model.transform(x).select("id", vector_to_array("probability").alias("p"), "prediction").toPandas().set_index("id")
+    assert np.allclose(got.p.map(sum), 1)
+    assert (got.prediction == got.p.map(np.argmax)).all()
+    votes = 0
+    for piece in model.pieces:
+        one = piece.setProbabilityCol("q").transform(x).select("id", vector_to_array("q")[1].alias("q")).toPandas()
+        votes = votes + piece.getNumTrees * one.set_index("id").q
+    assert np.allclose(votes.loc[got.index] / 10, got.p.map(lambda p: p[1]))
+    trees = [t.featureImportances.toArray() for p in model.pieces for t in p.trees if t.numNodes > 1]
+    assert np.allclose(model.featureImportances.toArray(), np.mean(trees, axis=0))
+    again = models.fit(x, spec, 3, {0: 1.0, 1: 1.0})
+
+    def grown(m):
+        return [t.toDebugString.split("\n", 1)[1] for p in m.pieces for t in p.trees]
+
+    assert grown(again) == grown(model) and len(set(grown(model))) > 5
