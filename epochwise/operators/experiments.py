@@ -186,7 +186,7 @@ def cross_set(rows: DataFrame, cols: Sequence[str], spec: Spec, dataset: str = "
     return models.out_of_fold(rows, cols, spec, fold=dataset, protocol="cross_set")
 
 
-def multiclass_oof(rows: DataFrame, cols: Sequence[str], k: int = 5, trees: int = 300, depth: int = 12, seed: int = 42, parallel: int = 4) -> DataFrame:
+def multiclass_oof(rows: DataFrame, cols: Sequence[str], k: int = 5, trees: int = 300, depth: int = 12, seed: int = 42, parallel: int = 8) -> DataFrame:
     """Out-of-fold class of a multiclass forest: (id, y, pred) with y the class index."""
     from pyspark.ml.classification import RandomForestClassifier
 
@@ -199,7 +199,8 @@ def multiclass_oof(rows: DataFrame, cols: Sequence[str], k: int = 5, trees: int
         model = models.grow(rf, placed)
         placed.unpersist()
         out = model.transform(models.vectors(test, cols))
-        return out.select("id", "y", F.col("prediction").cast("int").alias("pred"))
+        # a fold is scored on its own: every task of a scoring stage unpacks its models
+        return materialise(out.select("id", "y", F.col("prediction").cast("int").alias("pred")), "multi-scored")
 
     parts = models.concurrently([lambda f=f: run(f) for f in range(k)], parallel)
-    return materialise(reduce(DataFrame.unionByName, parts), "multi-scored")
+    return models.stored_as_one(parts)

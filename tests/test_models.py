@@ -235,3 +235,17 @@ def test_a_forest_in_pieces_is_one_model(rows, monkeypatch):
         return [t.toDebugString.split("\n", 1)[1] for p in m.pieces for t in p.trees]
 
     assert grown(again) == grown(model) and len(set(grown(model))) > 5
+
+
+def test_a_fold_is_scored_on_its_own(rows, monkeypatch):
+    """A scoring stage holds the models of one fold: each of its tasks unpacks all that the stage holds."""
+    written = []
+
+    def noted(df, label, *args):
+        written.append((label, df.select("fold").distinct().count() if "fold" in df.columns else 0))
+        return materialise(df, label, *args)
+
+    monkeypatch.setattr(models, "materialise", noted)
+    scored = models.out_of_fold(rows, COLS, models.random_forest(4, 2))
+    assert [w for w in written if w[0] == "scored-rf"] == [("scored-rf", 1)] * 4
+    assert scored.count() == 240 and scored.select("fold").distinct().count() == 4
