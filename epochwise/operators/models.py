@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from threading import BoundedSemaphore
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -28,7 +29,7 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.operators import events, folds, irls
+from epochwise.operators import events, folds, irls, together
 from epochwise.session import materialise
 
 #: Most folds of models that are fitted once per fold; a parameter of ``fold_ids`` and ``Prepared``.
@@ -315,6 +316,9 @@ def out_of_fold(
     if spec.ridge is not None and select is None:
         scored = _ridge(ready, cols, spec, id_col, scale, keep, skip_one_class)
         return _checked(materialise(_named(scored, spec.name, protocol), f"scored-{spec.name}"), ready)
+    if select is None and together.fits(spec.build(len(cols))):
+        scored = _together(ready, cols, spec, id_col, scale, keep, skip_one_class)
+        return _checked(materialise(_named(scored, spec.name, protocol), f"scored-{spec.name}"), ready)
     stats = ready.scale(scale if spec.scaled else None)
 
     def run(f) -> DataFrame | None:
@@ -353,6 +357,25 @@ def _ridge(ready: Prepared, cols: Sequence[str], spec: Spec, id_col: str, scale:
     return scored.withColumn("_fold", F.col(ready.fold).cast("string")).select(*out[:-1], F.col("_fold").alias("fold"), "p")
 
 
+def _together(ready: Prepared, cols: Sequence[str], spec: Spec, id_col: str, scale: str | None, keep: Sequence[str], skip_one_class: bool) -> DataFrame:
+    """(id, keep, fold, p) with boosting or perceptrons of all folds from one scan per step."""
+    whole = [f for f in ready.ids if len(ready.weights.get(f, {})) == 2]
+    if len(whole) < len(ready.ids) and not skip_one_class or not whole:
+        raise ValueError("a fold's training side has one class only" if whole else "no fold has two classes on its training side")
+    stats, sides = ready.scale(scale if spec.scaled else None), []
+    for f in whole:
+        sc = stats.get(f) or {c: (0.0, 1.0) for c in cols}
+        low, width = (np.array(v, float) for v in zip(*[sc[c] for c in cols]))
+        weights = [float(ready.weights[f].get(c, 1.0)) if spec.weighted else 1.0 for c in (0, 1)]
+        sides.append(together.Side(ready.ids.index(f), low, width, np.array(weights)))
+    number = F.array_position(F.lit(list(ready.ids)), F.col(ready.fold)) - 1
+    estimator = spec.build(len(cols))
+    placed = in_place(ready.rows, id_col, together.part_rows(ready.count(), estimator, spec.rows or FIT_ROWS))
+    fitted = together.fit(placed, cols, number, len(ready.ids), sides, estimator, id_col)
+    kept = [F.col(c) for c in dict.fromkeys([id_col, *keep])] + [F.col(ready.fold).cast("string").alias("fold")]
+    return together.score(ready.rows, cols, number, {s.fold: m for s, m in zip(sides, fitted)}, kept)
+
+
 def _named(scored: DataFrame, name: str, protocol: str) -> DataFrame:
     return scored.withColumns({"model": F.lit(name), "protocol": F.lit(protocol)})
 
