@@ -21,6 +21,7 @@ together. Empty tables give no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -46,6 +47,8 @@ BROADCAST_WINDOWS = 2_000_000
 WORD_CACHE = 400_000
 #: Powers of the hash base that a worker keeps; longer texts have theirs made anew.
 POWERS = 1 << 16
+#: Characters of texts whose windows are worked out together.
+PORTION = 1 << 18
 
 # fixed values: words that stand for a number or a unit of measure
 NUMBERS = set(
@@ -116,30 +119,58 @@ _lexicon = _Lexicon()
 _PLACEHOLDER = np.array([xxhash.xxh3_64_intdigest(f"\x00slot{k}") for k in range(6)], np.uint64)
 
 
-def _words(text: str):
-    """(tokens, places of words, literal hashes, types, capitals that open a sentence, operators after words)."""
-    global _lexicon
-    tokens = text.split()
-    if len(_lexicon) + len(tokens) > _lexicon.room:
-        _lexicon = _Lexicon(max(WORD_CACHE, len(tokens)))
-    ids = np.fromiter(map(_lexicon.__getitem__, tokens), np.int64, len(tokens))
-    kind, ends = _lexicon.kind[ids], _lexicon.ends[ids]
-    place = np.flatnonzero(kind != _NONE)
-    opens = np.ones(len(place), bool)  # the first word of a sentence, whose capital says nothing
-    if len(place) > 1:
-        ended = np.concatenate([[0], np.cumsum(ends)])
-        opens[1:] = ended[place[1:]] > ended[place[:-1]]
-    signs = np.zeros(len(place), np.uint64)
-    at = np.flatnonzero(_lexicon.sign[ids])
-    kind = kind[place]
-    if len(at) and len(place) > 1:
-        before = np.searchsorted(place, at) - 1
-        number = (kind == _NUM) | (kind == _NUMUNIT)
-        inner = (before >= 0) & (before < len(place) - 1)
-        inner[inner] = number[before[inner]] & number[before[inner] + 1]
-        # several operators in a row keep their order
-        np.add.at(signs, before[inner], _mix(_lexicon.hash[ids[at[inner]]] + (at - place[before])[inner].astype(np.uint64)))
-    return tokens, place, _lexicon.hash[ids[place]], kind, (kind == _CAPITAL) & opens, signs
+class _Words:
+    """The words of some texts, one after another, with literal hashes, types, capitals that open a sentence and operators after words.
+
+    ``text``: the text of each word. Its words lie from ``begin`` to ``end``.
+    """
+
+    def __init__(self, texts: list[str]):
+        global _lexicon
+        split = [t.split() for t in texts]
+        lengths = [len(t) for t in split]
+        self.tokens = tokens = list(itertools.chain.from_iterable(split))
+        if len(_lexicon) + len(tokens) > _lexicon.room:
+            _lexicon = _Lexicon(max(WORD_CACHE, len(tokens)))
+        ids = np.fromiter(map(_lexicon.__getitem__, tokens), np.int64, len(tokens))
+        kind = _lexicon.kind[ids]
+        self.place = place = np.flatnonzero(kind != _NONE)
+        self.text = np.repeat(np.arange(len(texts)), lengths)[place]
+        self.count = np.bincount(self.text, minlength=len(texts))
+        self.end = np.cumsum(self.count)
+        self.begin = self.end - self.count
+        follows = np.zeros(len(place), bool)
+        follows[1:] = self.text[1:] == self.text[:-1]
+        opens = ~follows  # the first word of a sentence, whose capital says nothing
+        if len(place) > 1:
+            ended = np.concatenate([[0], np.cumsum(_lexicon.ends[ids])])
+            opens[1:] |= ended[place[1:]] > ended[place[:-1]]
+        self.signs = np.zeros(len(place), np.uint64)
+        at = np.flatnonzero(_lexicon.sign[ids])
+        self.types = kind = kind[place]
+        if len(at) and len(place) > 1:
+            before = np.searchsorted(place, at) - 1
+            number = (kind == _NUM) | (kind == _NUMUNIT)
+            inner = (before >= 0) & (before < len(place) - 1)
+            inner[inner] = number[before[inner]] & number[before[inner] + 1] & follows[before[inner] + 1]
+            # several operators in a row keep their order
+            np.add.at(self.signs, before[inner], _mix(_lexicon.hash[ids[at[inner]]] + (at - place[before])[inner].astype(np.uint64)))
+        self.literal = _lexicon.hash[ids[place]]
+        self.capital = (kind == _CAPITAL) & opens
+
+    def slots(self, which: int) -> np.ndarray:
+        """Types of the words in templates of kind 1 or 2."""
+        return np.where(self.capital, _WORD, self.types) if which == 1 else self.types
+
+    def values(self, start: int, size: int, which: int) -> list[str]:
+        """The words in the slots of a window."""
+        out = []
+        for i in range(start, start + size) if which else ():
+            kind = _WORD if which == 1 and self.capital[i] else self.types[i]
+            if kind != _WORD:
+                # "?": only taken for a name
+                out.append(f"{'?' if self.capital[i] else ''}{kind}:{self.tokens[self.place[i]].strip(_EDGES).lower()}")
+        return out
 
 
 def _rolled(h: np.ndarray, size: int, salt: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -165,12 +196,12 @@ def _powers(count: int) -> np.ndarray:
     return _power_table(POWERS)
 
 
-def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: np.ndarray, opened: np.ndarray | None):
-    """Hashes and positions of the windows at ``dense``, widened to either side as far as needed.
+def _widened(words_of: _Words, template: np.ndarray, slot: np.ndarray, dense: np.ndarray, opened: np.ndarray | None):
+    """Hashes and positions of the windows at ``dense``, widened to either side as far as needed, within their texts.
 
     ``opened``: running count of sentence-opening capitals, where only windows that hold one are asked for.
     """
-    count = len(template)
+    count, signs, text = len(template), words_of.signs, words_of.text[dense]
     words = np.concatenate([[0], np.cumsum(slot == 0)])
     joints = np.concatenate([[0], np.cumsum(signs != 0)])  # an operator belongs to the word before it
     upto = words + np.concatenate([[0], joints[:-1]])  # content before an end, the operator after it left out
@@ -179,7 +210,7 @@ def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: n
     stop = np.maximum(np.maximum(stop, np.searchsorted(words, words[dense] + 1)), dense + WINDOW)
     start = np.searchsorted(since, upto[dense + WINDOW] - CONTENT, "right") - 1
     start = np.minimum(np.minimum(start, np.searchsorted(words, words[dense + WINDOW] - 1, "right") - 1), dense)
-    right, left = stop <= count, (start >= 0) & (start < dense)
+    right, left = stop <= words_of.end[text], (start >= words_of.begin[text]) & (start < dense)
     a = np.concatenate([dense[right], start[left]])
     z = np.concatenate([stop[right], dense[left] + WINDOW])
     at = np.concatenate([dense[right], dense[left]])
@@ -199,47 +230,72 @@ def _widened(template: np.ndarray, slot: np.ndarray, signs: np.ndarray, dense: n
     return _mix(_mix(_mix(template[a]) + inner) + (z - a).astype(np.uint64)), at
 
 
-def windows(text: str | None):
-    """Hashes and positions of literal (0) and template windows, their number, and a slot reader.
+def windows_of(texts: list[str]):
+    """(hash, text, position, kind) of the literal (0) and template windows of some texts, with the words that give their slots.
 
-    Templates are of kind 1, or 2 where capitals that open a sentence are taken for names.
+    Templates are of kind 1, or 2 where capitals that open a sentence are taken for names. Positions count from the
+    first word of all texts.
     """
-    tokens, place, literal, types, capital, signs = _words(text or "")
-    count = len(place)
-    if not count:
-        empty = np.empty(0, np.int64)
-        return empty.astype(np.uint64), empty, empty, 0, lambda at, kind: []
-    size = min(WINDOW, count)
-    h0 = _rolled(literal, size, size)
-    hashes, ats, kinds, masks = [h0], [np.arange(len(h0))], [np.zeros(len(h0), np.int64)], {}
-    opened = np.concatenate([[0], np.cumsum(capital)])
+    words = _Words(texts)
+    found = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def take(hashes: np.ndarray, at: np.ndarray, which: int) -> None:
+        for column, values in zip(found, (hashes, at, np.full(len(at), which))):
+            column.append(values)
+
+    opened = np.concatenate([[0], np.cumsum(words.capital)])
+    whole = words.text[WINDOW - 1 :] == words.text[: len(words.text) - WINDOW + 1] if len(words.text) >= WINDOW else np.empty(0, bool)
+    if whole.any():
+        at = np.flatnonzero(whole)
+        take(_rolled(words.literal, WINDOW, WINDOW)[at], at, 0)
+    # texts that are shorter than a window, as a whole
+    short = np.flatnonzero((words.count > 0) & (words.count < WINDOW))
+    for i in short:
+        at = words.begin[i : i + 1]
+        take(_rolled(words.literal[at[0] : words.end[i]], words.count[i], int(words.count[i])), at, 0)
     for which in (1, 2) if opened[-1] else (1,):
-        slot = masks[which] = np.where(capital, _WORD, types) if which == 1 else types
+        slot = words.slots(which)
         slots = np.concatenate([[0], np.cumsum(slot != _WORD)])
         if not slots[-1]:
             continue
-        template = np.where(slot != _WORD, _PLACEHOLDER[slot], literal)
-        inside = slots[size:] - slots[:-size]
-        anew = (opened[size:] > opened[:-size]) if which == 2 else True
-        few = size - inside < min(CONTENT, size)
-        use = np.flatnonzero((inside > 0) & ~few & anew)
-        hashes.append(_rolled(template, size, 64 + size, use))
-        ats.append(use)
-        dense = np.flatnonzero((inside > 0) & few) if size == WINDOW else use[:0]
+        template = np.where(slot != _WORD, _PLACEHOLDER[slot], words.literal)
+        for i in short:
+            a, z, size = words.begin[i], words.end[i], int(words.count[i])
+            inside = slots[z] - slots[a]
+            if 0 < inside and size - inside >= min(CONTENT, size) and (which == 1 or opened[z] > opened[a]):
+                take(_rolled(template[a:z], size, 64 + size), words.begin[i : i + 1], which)
+        if not whole.any():
+            continue
+        inside = slots[WINDOW:] - slots[:-WINDOW]
+        anew = (opened[WINDOW:] > opened[:-WINDOW]) if which == 2 else True
+        few = WINDOW - inside < CONTENT
+        use = np.flatnonzero(whole & (inside > 0) & ~few & anew)
+        take(_rolled(template, WINDOW, 64 + WINDOW, use), use, which)
+        dense = np.flatnonzero(whole & (inside > 0) & few)
         if len(dense):
-            h, at = _widened(template, slot, signs, dense, opened if which == 2 else None)
-            hashes.append(h)
-            ats.append(at)
-        kinds.append(np.full(sum(map(len, ats)) - sum(map(len, kinds)), which))
+            take(*_widened(words, template, slot, dense, opened if which == 2 else None), which)
+    hashes, at, kinds = map(np.concatenate, found)
+    return hashes, words.text[at], at, kinds, words
+
+
+def windows(text: str | None):
+    """Hashes, positions and kinds of the windows of one text, the number of literal ones, and a slot reader."""
+    h, _, at, kind, words = windows_of([text or ""])
+    size = min(WINDOW, int(words.count[0]))
+    total = int(words.count[0]) - size + 1 if size else 0
+    return h, at, kind, total, lambda start, which: words.values(start, size, which)
 
-    def values(start: int, which: int) -> list[str]:
-        if not which:
-            return []
-        span = [i for i in range(start, start + size) if masks[which][i]]
-        # "?": only taken for a name
-        return [f"{'?' if capital[i] else ''}{masks[which][i]}:{tokens[place[i]].strip(_EDGES).lower()}" for i in span]
 
-    return np.concatenate(hashes), np.concatenate(ats), np.concatenate(kinds), len(h0), values
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``PORTION`` characters; a longer text is one by itself."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > PORTION:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 WINDOW_FIELDS = [
@@ -268,27 +324,21 @@ def window_rows(rows: DataFrame, key: str, text: str, known=None) -> DataFrame:
             hashes = known.value
             gate = np.zeros(1 << 20, bool)
             gate[hashes & low] = True
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                owner, cols = [], [[], [], [], [], []]
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    h, at, kind, total, values = windows(text)
-                    if known is not None and len(h):
-                        keep = np.flatnonzero(gate[h & low])
-                        if not len(hashes):
-                            keep = keep[:0]
-                        if len(keep):
-                            found = np.minimum(np.searchsorted(hashes, h[keep]), len(hashes) - 1)
-                            keep = keep[hashes[found] == h[keep]]
-                        h, at, kind = h[keep], at[keep], kind[keep]
-                    owner += [i] * len(h)
-                    cols[0] += h.view(np.int64).tolist()
-                    cols[1] += np.minimum(kind, 1).tolist()
-                    cols[2] += at.tolist()
-                    cols[3] += [total] * len(h)
-                    cols[4] += [values(a, k) for a, k in zip(at.tolist(), kind.tolist())]
-                arrays = [batch.column("key").take(pa.array(owner, pa.int64()))]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for start, stop in _portions(texts):
+                h, text, at, kind, words = windows_of(texts[start:stop])
+                if known is not None:
+                    keep = np.flatnonzero(gate[h & low]) if len(hashes) else np.empty(0, np.int64)
+                    if len(keep):
+                        found = np.minimum(np.searchsorted(hashes, h[keep]), len(hashes) - 1)
+                        keep = keep[hashes[found] == h[keep]]
+                    h, text, at, kind = h[keep], text[keep], at[keep], kind[keep]
+                size = np.minimum(words.count[text], WINDOW)
+                total = words.count[text] - size + 1
+                slots = [words.values(*v) for v in zip(at.tolist(), size.tolist(), kind.tolist())]
+                cols = h.view(np.int64), np.minimum(kind, 1), at - words.begin[text], total, slots
+                arrays = [batch.column("key").take(pa.array(start + text, pa.int64()))]
                 arrays += [pa.array(c, t) for c, t in zip(cols, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
