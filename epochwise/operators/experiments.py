@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochwise.operators import evaluate, folds, irls, isotonic, models, ordering, prep
+from epochwise.operators import evaluate, folds, grove, irls, isotonic, models, ordering, prep
 from epochwise.operators.models import Spec
 from epochwise.operators.selection import _weights, standardised
 from epochwise.session import discard, materialise
@@ -192,11 +193,25 @@ def multiclass_oof(rows: DataFrame, cols: Sequence[str], k: int = 5, trees: int
 
     folded = materialise(folds.stratified_kfold(rows, "id", k), "multi")
 
+    estimator = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="y", featuresCol="_x")
+    n, classes = folded.agg(F.count(F.lit(1)), F.max("y") + 1).first()
+    if n and classes and 1 < classes <= grove.CLASSES and grove.fits(estimator, n, len(cols)):
+        held = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+        sides = [grove.Side(f, np.ones(classes)) for f in held]
+        placed, votes = models.voted(folded, cols, F.col("fold"), k, sides, estimator, n)
+        said = F.array(*[F.col(f"v{c}") for c in range(classes)])
+        # of equal votes the smaller class
+        pred = (F.array_position(said, F.array_max(said)) - 1).cast("int")
+        out = materialise(placed.join(votes, "_row").select("id", "y", pred.alias("pred")), "multi-scored")
+        if out.count() < n:
+            raise RuntimeError(f"{n - out.count()} rows have no out-of-fold class")
+        discard(placed, votes)
+        return out
+
     def run(f: int) -> DataFrame:
         train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-        rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="y", featuresCol="_x")
         placed = models.in_place(models.vectors(train, cols), part_rows=models.FOREST_ROWS).persist()
-        model = models.grow(rf, placed)
+        model = models.grow(estimator, placed)
         placed.unpersist()
         out = model.transform(models.vectors(test, cols))
         # a fold is scored on its own: every task of a scoring stage unpacks its models

@@ -29,8 +29,8 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.operators import events, folds, irls, together
-from epochwise.session import materialise
+from epochwise.operators import events, folds, grove, irls, together
+from epochwise.session import discard, materialise
 
 #: Most folds of models that are fitted once per fold; a parameter of ``fold_ids`` and ``Prepared``.
 MAX_FOLDS = 256
@@ -319,6 +319,8 @@ def out_of_fold(
     if select is None and together.fits(spec.build(len(cols))):
         scored = _together(ready, cols, spec, id_col, scale, keep, skip_one_class)
         return _checked(materialise(_named(scored, spec.name, protocol), f"scored-{spec.name}"), ready)
+    if select is None and grove.fits(spec.build(len(cols)), ready.count(), len(cols)):
+        return _checked(stored_as_one(_grown(ready, cols, spec, id_col, keep, skip_one_class, protocol, parallel)), ready)
     stats = ready.scale(scale if spec.scaled else None)
 
     def run(f) -> DataFrame | None:
@@ -376,6 +378,53 @@ def _together(ready: Prepared, cols: Sequence[str], spec: Spec, id_col: str, sca
     return together.score(ready.rows, cols, number, {s.fold: m for s, m in zip(sides, fitted)}, kept)
 
 
+def _grown(ready: Prepared, cols: Sequence[str], spec: Spec, id_col: str, keep: Sequence[str], skip_one_class: bool, protocol: str, parallel: int) -> list[DataFrame]:
+    """The stored scores of each fold by its forest; the trees of all folds are grown side by side."""
+    whole = [f for f in ready.ids if len(ready.weights.get(f, {})) == 2]
+    if len(whole) < len(ready.ids) and not skip_one_class or not whole:
+        raise ValueError("a fold's training side has one class only" if whole else "no fold has two classes on its training side")
+    sides = []
+    for f in whole:
+        weights = [float(ready.weights[f].get(c, 1.0)) if spec.weighted else 1.0 for c in (0, 1)]
+        sides.append(grove.Side(ready.ids.index(f), np.array(weights)))
+    number = F.array_position(F.lit(list(ready.ids)), F.col(ready.fold)) - 1
+    placed, votes = voted(ready.rows, cols, number, len(ready.ids), sides, spec.build(len(cols)), ready.count(), id_col)
+    kept = [F.col(c) for c in dict.fromkeys([id_col, *keep])] + [F.col(ready.fold).cast("string").alias("fold")]
+
+    def run(k: int) -> DataFrame:
+        rows = placed.filter(F.col(ready.fold) == F.lit(whole[k])).select(*kept, "_row")
+        met = rows.join(votes.filter(F.col("side") == k), "_row")
+        out = met.select(*rows.columns[:-1], _share_of_one().alias("p"))
+        return materialise(_named(out, spec.name, protocol), f"scored-{spec.name}")
+
+    parts = concurrently([lambda k=k: run(k) for k in range(len(whole))], parallel)
+    discard(placed, votes)
+    return parts
+
+
+def voted(rows: DataFrame, cols: Sequence[str], number: Column, count: int, sides: Sequence, estimator: RandomForestClassifier, n: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The rows with a number in ``_row``, and the votes of ``grove.votes`` on those held out, by ``side`` and ``_row``; both stored."""
+    placed = in_place(rows, id_col, together.part_rows(n, estimator, FIT_ROWS))
+    placed = materialise(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    return placed, materialise(grove.votes(placed, cols, number, count, sides, estimator, id_col), "votes")
+
+
+def held_out(train: DataFrame, test: DataFrame, cols: Sequence[str], spec: Spec, weights: dict[int, float], scale: dict | None = None, id_col: str = "id") -> DataFrame:
+    """(y, p) of the rows of ``test`` by a model of ``train``."""
+    estimator, n = spec.build(len(cols)), train.count() + test.count()
+    if not grove.fits(estimator, n, len(cols)):
+        model = fit(vectors(train, cols, scale), spec, len(cols), weights, id_col)
+        return model.transform(vectors(test, cols, scale)).select("y", class_one_score(model).alias("p"))
+    sides = [grove.Side(1, np.array([float(weights.get(c, 1.0)) if spec.weighted else 1.0 for c in (0, 1)]))]
+    both = [rows.select(id_col, "y", *cols, F.lit(i).alias("_side")) for i, rows in enumerate((train, test))]
+    placed, votes = voted(both[0].unionByName(both[1]), cols, F.col("_side"), 2, sides, estimator, n, id_col)
+    return placed.join(votes, "_row").select("y", _share_of_one().alias("p"))
+
+
+def _share_of_one() -> Column:
+    return F.col("v1") / F.greatest(F.col("v0") + F.col("v1"), F.lit(1))
+
+
 def _named(scored: DataFrame, name: str, protocol: str) -> DataFrame:
     return scored.withColumns({"model": F.lit(name), "protocol": F.lit(protocol)})
 
