@@ -85,16 +85,18 @@ def sweep(rows: DataFrame, cols: Sequence[str], specs: Sequence[Spec], test_subj
     """
     train = materialise(folds.group_kfold(rows.filter(F.col("subject") != test_subject), inner), "sweep")
     ready = models.Prepared(train, cols, "fold")
-    scored = reduce(DataFrame.unionByName, [models.out_of_fold(ready, cols, s, skip_one_class=True) for s in specs])
+    ready.count()
+    # the settings don't need one another, and the trees of one don't fill a cluster to the end
+    parts = models.concurrently([lambda s=s: models.out_of_fold(ready, cols, s, skip_one_class=True) for s in specs])
+    scored = reduce(DataFrame.unionByName, parts)
     skipped = len(ready.one_class())
     inner_auc = evaluate.roc_auc(scored, ["model"]).collect()  # one row per setting
     ranked = sorted(((r.auc if r.auc is not None else -1.0, r.model) for r in inner_auc), key=lambda t: (-t[0], t[1]))
     best = ranked[0][1]
     spec = next(s for s in specs if s.name == best)
     sc = standardised(train, cols) if spec.scaled else None
-    model = models.fit(models.vectors(train, cols, sc), spec, len(cols), _weights(train))
     test = rows.filter(F.col("subject") == test_subject)
-    out = model.transform(models.vectors(test, cols, sc)).select("y", models.class_one_score(model).alias("p"), F.lit(best).alias("model"))
+    out = models.held_out(train, test, cols, spec, _weights(train), sc).withColumn("model", F.lit(best))
     got = evaluate.roc_auc(out, ["model"]).first()
     table = [(m, float(a), int(m == best), float(got.auc) if m == best and got.auc is not None else None, skipped) for a, m in ranked]
     return rows.sparkSession.createDataFrame(table, "model string, inner_auc double, chosen int, test_auc double, folds_skipped int")
