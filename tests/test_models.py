@@ -249,3 +249,9 @@ def test_a_fold_is_scored_on_its_own(rows, monkeypatch):
     scored = models.out_of_fold(rows, COLS, models.random_forest(4, 2))
     assert [w for w in written if w[0] == "scored-rf"] == [("scored-rf", 1)] * 4
     assert scored.count() == 240 and scored.select("fold").distinct().count() == 4
+
+
+def test_a_margin_classifier_of_few_rows_has_one_partition(rows):
+    """A step of its optimiser is then one task."""
+    probed = dataclasses.replace(models.linear_margin(), build=lambda d: Probe())
+    assert models.fit(models.vectors(rows, COLS), probed, 3, {0: 1.0, 1: 1.0})[:2] == (1, 240)
